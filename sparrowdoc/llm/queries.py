@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Name of a query and its module in this package.
 MODULES = {
     "op1_minhash_near_dedup": "q01_near_dedup",
+    "op2_chat_formatting": "q02_chat",
+    "op3_pii": "q03_pii",
+    "op4_exact_topk": "q04_topk",
+    "op5_packing": "q05_packing",
+    "op6_quality_rules": "q06_rules",
+    "op8_quality_classifier": "q08_classifier",
+    "op10_byte_bpe": "q10_byte_bpe",
 }
 
 

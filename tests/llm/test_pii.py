@@ -1,0 +1,78 @@
+"""Base spans against the plain patterns; the trees on written candidates; redaction."""
+
+import hashlib
+import re
+
+from sparrowdoc.llm.pii import KINDS, find_pii, fitted, reached, redacted
+
+DOCS = "doc_id long, text string, spans string, c0 int"
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def passes(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+
+
+def base(text):
+    return sorted((m.start(), i, m.end()) for i, k in enumerate(KINDS) for m in re.finditer(PLAIN[k], text or "") if passes(k, m[0]))
+
+
+def show(spans):
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def check(spark, rows):
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS).repartition(3)
+    got = {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in find_pii(docs).collect()}
+    want = set()
+    for i, t in rows:
+        s = base(t)
+        want.add((i, *(sum(k == j for _, k, _ in s) for j in range(4)), hashlib.sha256(show(s).encode()).hexdigest()))
+    assert got == want
+    by = dict(rows)
+    for r in find_pii(docs).collect():
+        assert set(show(base(by[r.doc_id])).split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_documents(spark, sf):
+    check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
+def test_odd_texts(spark):
+    texts = [
+        None, "", "a@b.c%d@e.f", "a@b.c@d.e", "x@y", "1.2.3.4.5.6.7.8", "1.2.3.999 1.2.3.4", "0001.02.255.256", "4111 1111 1111 1111", "4111-1111-1111-1111 4111",
+        "+1 (988) 555-2485.", "+1((((((", "+12345678901234567", "é😀 a@b.org 😀 1.2.3.4", "+49 30 1234567 +1 202 555 0123", "..@..a", "a" * 50_000 + "@b.c", "1" * 60_000,
+        "1 " * 40_000, "word " * 40_000 + "me@x.org", "a@b.c " * 500, "@" * 1000, "3.3.3.3" * 300, "+1 " * 500, "4999999999999999993 49999999999999999930",
+    ]
+    check(spark, list(enumerate(texts)))
+
+
+def test_trees(spark):
+    trees, (a, b), limits = fitted(spark)
+    margin = lambda *f: sum(reached(t, f) for t in trees)
+    # kind, digits, groups, speaks, against, luhn, marks, attached
+    assert margin(3, 10, 3, 1, 0, 0, 2, 0) > 0 > margin(3, 8, 2, 0, 1, 0, 1, 0)
+    assert margin(2, 16, 4, 1, 0, 0, 0, 0) > 0 > margin(2, 16, 1, 0, 1, 0, 0, 0)
+    assert a > 0 and all(0 < x <= 1.1 for x in limits)
+
+
+def test_added_spans(spark):
+    docs = spark.createDataFrame([(1, "call 030/123456 or call 202-555-0123 now"), (2, "order 1234-5678 and pages 10-20")], "doc_id long, text string")
+    got = {r.doc_id: r for r in find_pii(docs).collect()}
+    assert "phone:24:36" in got[1].spans and got[1].n_phone == 0 and got[2].spans == ""
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, "é me@x.org, 1.2.3.4", "s", 1), (2, None, "s", 1), (3, "plain", None, None)], DOCS)
+    assert [r.text for r in redacted(docs).orderBy("doc_id").collect()] == ["é [EMAIL], [IP]", None, "plain"]
+    assert redacted(docs).columns == docs.columns and find_pii(docs.where("false")).count() == 0
