@@ -15,7 +15,9 @@ MODULES = {
     "op4_exact_topk": "q04_topk",
     "op5_packing": "q05_packing",
     "op6_quality_rules": "q06_rules",
+    "op7_lm_scoring": "q07_lm",
     "op8_quality_classifier": "q08_classifier",
+    "op9_suffix_array_dedup": "q09_suffix",
     "op10_byte_bpe": "q10_byte_bpe",
 }
 
