@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdoc.llm.tokens import Encoder, byte_bpe, byte_values, load, spaced
+from sparrowdoc.llm.tokens import Spaced, byte_bpe, byte_values, encoder, load
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -72,16 +72,16 @@ def round_trips(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
     sent = _sent(docs, ranks, pattern)
 
     def run(batches):
-        encoder = Encoder(sent.value, spaced)
-        values = byte_values(encoder.tokenizer)
+        own = encoder(sent.value, Spaced)
+        values = byte_values(own.tokenizer)
         table = [values[i] for i in range(len(values))]
         decimal = [str(i).encode() for i in range(len(table))]
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 out = []
-                for text in part.column(1).to_pylist():
-                    ids = np.frombuffer(encoder.ids(text), "<u4").tolist()
+                for raw in own.batch(part.column(1).to_pylist()):
+                    ids = np.frombuffer(raw, "<u4").tolist()
                     shown = hashlib.sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest()
                     out.append((len(ids), shown, hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest()))
                 n, shown, decoded = zip(*out, strict=True)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowdoc.llm.common import Scratch
-from sparrowdoc.llm.tokens import Encoder, bare
+from sparrowdoc.llm.tokens import Bare, encoder
 
 WINDOW, OPEN, END = 4096, 64, 2
 #: A gap of at least so many tokens is filled by cutting a document; a smaller one is padded.
@@ -119,13 +119,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        encoder, windows, id_type, out = Encoder(sent.value, bare), Windows(part << 32, size), None, []
+        own, windows, id_type, out = encoder(sent.value, Bare), Windows(part << 32, size), None, []
         for batch in batches:
             id_type = batch.column(0).type
             for at in range(0, len(batch), 500):
                 some = batch.slice(at, 500)
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    out += [(*x, part, None) for x in windows.add(doc, encoder.ids(text) + last)]
+                for doc, ids in zip(some.column(0).to_pylist(), own.batch(some.column(1).to_pylist()), strict=True):
+                    out += [(*x, part, None) for x in windows.add(doc, ids + last)]
                 if out:
                     yield _table(out, id_type, extra)
                     out = []

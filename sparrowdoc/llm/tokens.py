@@ -7,14 +7,13 @@ its parts one after another, and a part that was seen before is looked up.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
-from collections.abc import Callable
+from array import array
 
-import numpy as np
-
-#: Parts that a worker remembers; then it starts anew. About 250 bytes each.
-MEMORY = 300_000
+#: Parts that a worker remembers; then it starts anew. About 250 bytes each, with their words.
+MEMORY = 1_000_000
 
 
 def byte_table() -> list[str]:
@@ -79,43 +78,97 @@ def load(serialised: str):
 
 
 #: White space beside a space: there a pattern with a leading space may split otherwise, and the text is encoded whole.
-BESIDE = re.compile(r"\s | \s")
+BESIDE = re.compile(r"\s | \s|\0")
+
+
+class Spaced:
+    """Parts that begin with the space before them; for patterns in which a space goes to the word after it.
+
+    A part is named without its space, and the first of a text, which has none, with a NUL.
+    """
+
+    fold = False
+
+    @staticmethod
+    def parts(text: str) -> list[str] | None:
+        if BESIDE.search(text):
+            return None
+        out = text.split(" ")
+        out[0] = "\0" + out[0]
+        return out
+
+    @staticmethod
+    def real(part: str) -> str:
+        return part[1:] if part[:1] == "\0" else " " + part
 
 
-def spaced(text: str) -> list[str] | None:
-    """Parts that begin with the space before them; for patterns in which a space goes to the word after it."""
-    if BESIDE.search(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+class Bare:
+    """Parts without white space around them; for tokenizers that drop it and the case of letters."""
 
+    fold = True
 
-def bare(text: str) -> list[str]:
-    """Parts without white space around them; for tokenizers that drop it."""
-    return text.replace("\n", " ").split(" ")
+    @staticmethod
+    def parts(text: str) -> list[str] | None:
+        return text.replace("\n", " ").split(" ")
+
+    @staticmethod
+    def real(part: str) -> str:
+        return part
 
 
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, serialised: str, parts: Callable[[str], list[str] | None], memory: int = MEMORY):
-        self.tokenizer, self.parts, self.memory, self.known = load(serialised), parts, memory, {"": b""}
+    def __init__(self, serialised: str, kind, memory: int = MEMORY):
+        self.tokenizer, self.kind, self.memory, self.known, self.cores = load(serialised), kind, memory, {}, {}
+        self.tails = dict(zip(",.", self.encoded([",", "."]), strict=True))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), 20_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        """A comma or full stop after an ASCII letter or digit is a token of its own, so that most parts are a word seen before."""
+        cores, missing = self.cores, {}
+        cut = []
+        for part in new:
+            core, tail = part, part[-1:]
+            if tail in self.tails and part[-2:-1].isalnum() and part[-2:-1].isascii():
+                core = part[:-1]
+            else:
+                tail = ""
+            if self.kind.fold and core.isascii():
+                core = core.lower()
+            cut.append((part, core, tail))
+            if core not in cores:
+                missing[core] = None
+        names = list(missing)
+        cores.update(zip(names, self.encoded([self.kind.real(x) for x in names]), strict=True))
+        for part, core, tail in cut:
+            self.known[part] = cores[core] + self.tails[tail] if tail else cores[core]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.memory:
+            self.known, self.cores = {}, {}
+        parts = [self.kind.parts(text) for text in texts]
+        if new := {x for p in parts if p is not None for x in p}.difference(self.known):
+            self.learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) if p is not None else self.encoded([text])[0] for p, text in zip(parts, texts, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        parts = self.parts(text)
-        if parts is None:
-            return self.encoded([text])[0]
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(known) > self.memory:
-            known.clear()
-            known[""] = b""
-        new = list({*parts}.difference(known))
-        known.update(zip(new, self.encoded(new), strict=True))
-        return b"".join(map(known.__getitem__, parts))
+        return self.batch([text])[0]
+
+
+_encoders: dict = {}
+
+
+def encoder(serialised: str, kind) -> Encoder:
+    """A worker's one encoder: what it remembers serves all its tasks."""
+    key = (hashlib.sha256(serialised.encode()).digest(), kind)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(serialised, kind)
+    return _encoders[key]
