@@ -1,15 +1,47 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine, each with the SQL that must give the same rows where SQL can say it."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+MODULES = ("corpus", "retrieval", "evaluation", "mined", "logs")
 
-def queries():
-    return {}
 
+def query(sql: str | None = None):
+    """Registers a function of (spark, table reader) under its name."""
 
-def oracle_sql():
-    return {}
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"sparrowdoc.plans.{m}")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
+    return QUERIES["passage_hit_mrr"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(SQL)
