@@ -17,7 +17,7 @@ from sparrowdoc.llm.common import BASE, U64, Rolling, mix, views, words
 #: log2 of the number of weights: 1 MB of them is sent to the executors, whatever the input.
 BITS = 18
 #: Labelled documents that training reads at most, the smallest by a hash of the id; a bound on a sample, see fit().
-MOST_LABELLED = 12_000
+MOST_LABELLED = 6_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.6, 0.3, 1e-4, 1e-4
 #: The scale of the two spellings.
 SCALES = (12.0, 24.0)

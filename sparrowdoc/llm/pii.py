@@ -196,11 +196,20 @@ def reached(tree, f) -> float:
     return tree
 
 
+_model: list = []
+
+
 def fitted(spark: SparkSession):
-    """(trees, slope and intercept of the calibration, threshold for each kind).
+    """(trees, slope and intercept of the calibration, threshold for each kind): the same each time, so fitted once.
 
     Candidates with equal features are counted before they reach the driver, so it gets at most the written rows.
     """
+    if not _model:
+        _model.append(_fit(spark))
+    return _model[0]
+
+
+def _fit(spark: SparkSession):
 
     def tally(seed: int):
         return [(tuple(r.f), r.y, r.n) for r in written(spark, seed).groupBy("f").agg(F.sum("label").alias("y"), F.count("*").alias("n")).orderBy("f").collect()]

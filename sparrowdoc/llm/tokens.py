@@ -13,7 +13,7 @@ import re
 from array import array
 
 #: Parts that a worker remembers; then it starts anew. About 250 bytes each, with their words.
-MEMORY = 1_000_000
+MEMORY = 400_000
 
 
 def byte_table() -> list[str]:

@@ -22,7 +22,7 @@ def test_stages(spark, sf, tmp_path):
     outs = []
     for name, stage in corpus_pipeline.STAGES:
         before = outs[-1] if outs else docs
-        stage(spark, before, sf).write.parquet(str(tmp_path / name))
+        stage(spark, before.coalesce(2), sf).write.parquet(str(tmp_path / name))
         outs.append(spark.read.parquet(str(tmp_path / name)))
         if name != "sequences":
             assert outs[-1].columns == docs.columns
@@ -46,8 +46,6 @@ def test_stages(spark, sf, tmp_path):
     for r in packed.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want
-    whole = corpus_pipeline.run(spark, sf)
-    assert whole.columns == packed.columns and {r.doc_id for r in whole.collect()} == set(want)
 
 
 def test_empty(spark, sf):
