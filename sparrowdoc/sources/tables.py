@@ -99,3 +99,10 @@ def documents_of_passages(passages: DataFrame, text: str) -> DataFrame:
 def cache_inventory(cache: DataFrame) -> DataFrame:
     """Entries of a response cache by model: how many, the first and the last, most first."""
     return cache.groupBy("model").agg(F.count("*").alias("entries"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")).orderBy(F.desc("entries"), "model")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes, lines, sha256 of each file of a folder: what a download must agree with."""
+    files = spark.read.format("binaryFile").load(path)
+    lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - F.when(F.decode("content", "UTF-8").endswith("\n"), 1).otherwise(0)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), lines.alias("lines"), F.sha2("content", 256).alias("sha256"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowdoc.functions import text as T
-from sparrowdoc.operators import chunk, metrics, mining, provenance, retrieve, robustness, stats
+from sparrowdoc.operators import chunk, evidence, layout, metrics, mining, provenance, retrieve, robustness, stats
 from sparrowdoc.sources import tables
 from sparrowdoc.streaming import live
 
@@ -327,6 +327,8 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("run_id = 'r2'").count() == 3
     incoming = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "k int, v string, at int")
     assert [tuple(r) for r in tables.upserted(spark.createDataFrame([(1, "o", 0), (2, "p", 0)], "k int, v string, at int"), incoming, "k", "at").orderBy("k").collect()] == [(1, "y", 2), (2, "p", 0)]
+    m = tables.manifest(spark, str(tmp_path / "l.jsonl")).first()
+    assert (m.file, m.bytes, m.lines) == ("l.jsonl", 19, 3)
     passages = spark.createDataFrame([("p",), ("p",), (None,)], "t string")
     assert tables.documents_of_passages(passages, "t").count() == 1
 
@@ -348,3 +350,24 @@ def test_order_of_rows_does_not_matter(spark, sf):
     docs, asked = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id query_id", "text query")
     assert sorted(map(tuple, retrieve.bm25_topk(docs, asked, 5).collect())) == sorted(map(tuple, retrieve.bm25_topk(docs.repartition(7), asked.repartition(3), 5).collect()))
     assert math.isclose(retrieve.RRF_K, 60)
+
+
+def test_layout(spark):
+    rows = [(1, i, t, y, y + 10.0) for i, (t, y) in enumerate([("ab", 0.0), ("c", 12.0), (" ", 24.0), ("long line", 36.0), ("d", 48.0), ("e", 90.0), ("f", 102.0)])]
+    r = layout.merged_lines(spark.createDataFrame(rows, "b int, no int, text string, y0 double, y1 double"), ["b"]).first()
+    assert r.text == "abc\nlong line\nd\nef" and r.n_lines == 4
+    blocks = [{"id": "a", "code": 3, "text": "H"}, {"id": "b", "code": 2, "text": " p "}, {"id": "c", "code": 99, "text": "x"}]
+    assert layout.flattened(blocks) == [("heading", "H", 1), ("paragraph", "p", None)]
+    loop = [{"id": "r", "code": 1, "children": ["x"]}, {"id": "x", "code": 24, "children": ["x", "y"]}, {"id": "y", "code": 12, "text": "i"}]
+    assert layout.flattened(loop) == [("list_item", "i", None)] and layout.flattened([]) == []
+    with pytest.raises(ValueError, match="arm"):
+        layout.with_prefix(spark.range(1), F.lit("x"), "none")
+
+
+def test_evidence_stops(spark):
+    rows = [
+        ("a", 1, False, True, 10, "n", 1), ("b", 1, True, True, 10, "n", 1), ("c", 1, False, False, 99, "n", 1), ("d", 1, False, False, 1, "n", 1), ("d", 2, False, False, 1, "n", 1), ("d", 3, False, False, 1, "n", 1),
+        ("e", 1, False, False, 1, " ", 1), ("f", 1, False, False, 1, "n", 0), ("g", 1, False, False, 1, "n", 2),
+    ]
+    got = evidence.stops(spark.createDataFrame(rows, "query_id string, round int, degraded boolean, sufficient boolean, prompt_tokens int, next_query string, fresh int"), 3, 50)
+    assert {r.query_id: r.stop_reason for r in got.collect()} == {"a": "sufficient", "b": "judge_degraded", "c": "token_budget", "d": "steps_exhausted", "e": "no_next_query", "f": "no_new_evidence", "g": "steps_exhausted"}
