@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -181,6 +183,7 @@ def shared_dir(spark: SparkSession) -> str:
         if had.isDefined():
             return had.get()
         found = tempfile.mkdtemp(prefix="sparrowdoc-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
     return found
 
