@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdoc.llm.common import BASE, U64, Rolling, mix, views, words
+from sparrowdoc.llm.common import BASE, U64, Rolling, mix, small_batches, tidy, views, words
 
 #: log2 of the number of weights: 1 MB of them is sent to the executors, whatever the input.
 BITS = 18
@@ -85,6 +85,7 @@ class Leader:
         self.n[at] = n + g * g
 
 
+@tidy
 def _train(batches):
     """(label, text) -> one row: the weights. Examples are kept as sparse rows, at most MOST_LABELLED of them."""
     examples = []
@@ -118,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     with several rows is represented by one of them. Training reads at most `most` labelled ids, those first by a hash
     of the id, in one task. Without labels all weights are 0 and every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 1))
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -135,6 +137,9 @@ def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Data
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
 
+    small_batches(docs.sparkSession)
+
+    @tidy
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in views(batch, at):

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
@@ -171,6 +174,38 @@ def ordered_repeat(keys: np.ndarray) -> np.ndarray:
     return np.sort(keys)
 
 
+# -- a worker's memory --------------------------------------------------------------------------------------------------
+
+#: Rows and bytes of an Arrow batch that workers are sent: long texts make batches small.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, where they are larger: a batch is held by the JVM and by its worker at once."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(name))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def tidy(run):
+    """A function of batches that gives memory back to the system when its task ends; workers live on for other tasks."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return tidied
+
+
 # -- scratch tables ---------------------------------------------------------------------------------------------------
 
 

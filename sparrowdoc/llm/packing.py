@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdoc.llm.common import Scratch
+from sparrowdoc.llm.common import Scratch, small_batches, tidy
 from sparrowdoc.llm.tokens import Bare, encoder
 
 WINDOW, OPEN, END = 4096, 64, 2
@@ -110,6 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())  # of fixed size
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -117,6 +118,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     last = b"" if end is None else np.array([end], "<u4").tobytes()
     extra = [("part", pa.int64()), ("ids", pa.binary())]
 
+    @tidy
     def run(batches):
         part = TaskContext.get().partitionId()
         own, windows, id_type, out = encoder(sent.value, Bare), Windows(part << 32, size), None, []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdoc.llm.common import BASE, U64, Rolling, Scratch, hashed_set, in_set, mix, views
+from sparrowdoc.llm.common import BASE, U64, Rolling, Scratch, hashed_set, in_set, mix, small_batches, tidy, views
 
 LENGTH, GRAM = 400, 64
 #: Contexts of a class that one task takes at most (about 1 KB each), of a block, and of a batch.
@@ -66,6 +66,7 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return row[lo], anchor, lo, hi, hashes[anchor], context
 
 
+@tidy
 def _anchors(batches):
     """(h1, h2, text) -> rows (h1, h2, pos, lo, hi, k, c)."""
     for batch in batches:
@@ -77,6 +78,7 @@ def _anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h1", "h2", "pos", "lo", "hi", "k", "c"])
 
 
+@tidy
 def _cut(batches):
     """(h1, h2, text, asked) -> the contexts asked for: k, h1, h2, lo, left, n, bytes."""
     for batch in batches:
@@ -225,6 +227,7 @@ def _spans(table: pa.Table, entry: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 
 
 def _resolved(block: int = BLOCK):
+    @tidy
     def run(batches):
         """Contexts sorted by k -> spans of those with n = 1; blocks end where k changes."""
 
@@ -290,6 +293,7 @@ def repeated_spans(texts: DataFrame, most_in_class: int = CLASS) -> tuple[DataFr
     of byte positions; and the table of anchors with a second occurrence, for which texts may have any."""
     spark = texts.sparkSession
     scratch = Scratch(spark)
+    small_batches(spark)
     anchors = scratch.keep(texts.mapInArrow(_anchors, "h1 long, h2 long, pos int, lo int, hi int, k long, c long"))
     contexts = anchors.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2", "pos")).alias("first"))
     contexts = scratch.keep(contexts)
@@ -331,6 +335,7 @@ def joined(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@tidy
 def _digest(batches):
     """(doc, text, spans) -> doc, n_bytes, n_removed, n_spans, kept_sha256."""
     for batch in batches:
