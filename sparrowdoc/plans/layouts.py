@@ -8,16 +8,16 @@ from sparrowdoc.functions import text as T
 from sparrowdoc.operators import evidence, layout
 from sparrowdoc.plans.catalogue import query
 
-LINES = """SELECT l_orderkey AS doc_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS no, CASE WHEN l_linenumber % 4 = 0 THEN 'a long line' ELSE l_returnflag END AS text, 12.0 * l_linenumber + CASE WHEN l_suppkey % 5 = 0 THEN 30 ELSE 0 END AS y0 FROM lineitem"""
+LINES = """SELECT conv_id AS doc_id, turn AS no, CASE WHEN turn % 4 = 3 THEN 'a long line' ELSE upper(left(role, 2)) END AS text, 12.0::DOUBLE * turn + CASE WHEN conv_id % 5 = 0 AND turn > 1 THEN 30 ELSE 0 END AS y0 FROM conversations"""
 
 
 @query(f"""WITH l AS ({LINES}), m AS (SELECT *, y0 + 10 AS y1, length(text) <= 2 AS short, lag(length(text) <= 2) OVER w AS was, lag(y0 + 10) OVER w AS above FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
 r AS (SELECT *, sum(CASE WHEN coalesce(short AND was AND y0 - above <= 16, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS run FROM m),
 g AS (SELECT doc_id, run, min(no) AS no, string_agg(text, '' ORDER BY no) AS line FROM r GROUP BY 1, 2) SELECT doc_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY no) AS text FROM g GROUP BY 1""")
 def merged_lines(spark, t):
-    text = F.expr("case when l_linenumber % 4 = 0 then 'a long line' else l_returnflag end")
-    y0 = 12.0 * F.col("l_linenumber") + F.expr("case when l_suppkey % 5 = 0 then 30 else 0 end")
-    rows = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.expr("l_linenumber * 100000000L + l_partkey * 1000 + l_suppkey % 1000").alias("no"), text.alias("text"), y0.alias("y0")).withColumn("y1", F.col("y0") + 10)
+    text = F.expr("case when turn % 4 = 3 then 'a long line' else upper(left(role, 2)) end")
+    y0 = 12.0 * F.col("turn") + F.expr("case when conv_id % 5 = 0 and turn > 1 then 30 else 0 end")
+    rows = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("no"), text.alias("text"), y0.alias("y0")).withColumn("y1", F.col("y0") + 10)
     return layout.merged_lines(rows, ["doc_id"])
 
 
