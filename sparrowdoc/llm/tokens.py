@@ -12,8 +12,8 @@ import os
 import re
 from array import array
 
-#: Parts that a worker remembers; then it starts anew. About 250 bytes each, with their words.
-MEMORY = 400_000
+#: Parts in each of the two generations that a worker remembers, about 170 bytes each.
+MEMORY = 350_000
 
 
 def byte_table() -> list[str]:
@@ -116,11 +116,18 @@ class Bare:
         return part
 
 
+#: Words of letters below this one are one run for every pattern here, have one form, and change case letter by letter: the
+#: model's merges alone give their ids, without the library's splitting.
+LETTERS = "\u0130"
+
+
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes."""
+    """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer whose alphabet is bytes."""
 
     def __init__(self, serialised: str, kind, memory: int = MEMORY):
-        self.tokenizer, self.kind, self.memory, self.known, self.cores = load(serialised), kind, memory, {}, {}
+        self.tokenizer, self.kind, self.memory = load(serialised), kind, memory
+        self.known, self.older = {}, {}
+        self.table, self.shown = byte_table(), {0x20: byte_table()[0x20]}
         self.tails = dict(zip(",.", self.encoded([",", "."]), strict=True))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
@@ -131,29 +138,42 @@ class Encoder:
 
     def learn(self, new: set[str]) -> None:
         """A comma or full stop after an ASCII letter or digit is a token of its own, so that most parts are a word seen before."""
-        cores, missing = self.cores, {}
-        cut = []
+        known, older, missing, cut = self.known, self.older, {}, []
         for part in new:
+            if (ids := older.get(part)) is not None:
+                known[part] = ids
+                continue
             core, tail = part, part[-1:]
             if tail in self.tails and part[-2:-1].isalnum() and part[-2:-1].isascii():
                 core = part[:-1]
             else:
                 tail = ""
-            if self.kind.fold and core.isascii():
+            if self.kind.fold and (core.isascii() or (core.isalpha() and max(core) < LETTERS)):
                 core = core.lower()
             cut.append((part, core, tail))
-            if core not in cores:
-                missing[core] = None
-        names = list(missing)
-        cores.update(zip(names, self.encoded([self.kind.real(x) for x in names]), strict=True))
+            if core not in known and core not in missing:
+                if (ids := older.get(core)) is not None:
+                    known[core] = ids
+                else:
+                    missing[core] = None
+        names = []
+        tokenize, shown, real = self.tokenizer.model.tokenize, self.shown, self.kind.real
+        for core in missing:
+            word = core[1:] if core[:1] == "\0" else core
+            if word.isalpha() and (word.isascii() or max(word) < LETTERS):
+                known[core] = array("I", [t.id for t in tokenize(real(core).translate(shown) if word.isascii() else "".join([self.table[b] for b in real(core).encode()]))]).tobytes()
+            else:
+                names.append(core)
+        known.update(zip(names, self.encoded([real(x) for x in names]), strict=True))
         for part, core, tail in cut:
-            self.known[part] = cores[core] + self.tails[tail] if tail else cores[core]
+            known[part] = known[core] + self.tails[tail] if tail else known[core]
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        """What was not asked for since the memory was last full is forgotten when it is full again."""
         if len(self.known) > self.memory:
-            self.known, self.cores = {}, {}
+            self.known, self.older = {}, self.known
         parts = [self.kind.parts(text) for text in texts]
-        if new := {x for p in parts if p is not None for x in p}.difference(self.known):
+        if new := set().union(*(p for p in parts if p is not None)).difference(self.known):
             self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) if p is not None else self.encoded([text])[0] for p, text in zip(parts, texts, strict=True)]
