@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowdoc.llm.common import small_batches, tidy
 from sparrowdoc.llm.tokens import Spaced, byte_bpe, byte_values, encoder, load
 
 
@@ -71,6 +72,9 @@ def round_trips(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
     rows, kind = _rows(docs, id_col, text_col)
     sent = _sent(docs, ranks, pattern)
 
+    small_batches(docs.sparkSession)
+
+    @tidy
     def run(batches):
         own = encoder(sent.value, Spaced)
         values = byte_values(own.tokenizer)
@@ -86,5 +90,6 @@ def round_trips(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
                     out.append((len(ids), shown, hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest()))
                 n, shown, decoded = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(shown), pa.array(decoded)], names=["doc", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return rows.mapInArrow(run, f"doc {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc", id_col)

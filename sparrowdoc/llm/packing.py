@@ -131,6 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 if out:
                     yield _table(out, id_type, extra)
                     out = []
+        own.forget()
         for order, (_, pieces) in enumerate(windows.open):
             out += [(doc, start, len(ids) // 4, zlib.crc32(ids), total, order, at, part, ids) for at, (doc, start, ids, total) in enumerate(pieces)]
         if out:

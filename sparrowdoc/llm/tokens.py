@@ -13,7 +13,7 @@ import re
 from array import array
 
 #: Parts in each of the two generations that a worker remembers, about 170 bytes each.
-MEMORY = 350_000
+MEMORY = 500_000
 
 
 def byte_table() -> list[str]:
@@ -178,6 +178,10 @@ class Encoder:
         get = self.known.__getitem__
         return [b"".join(map(get, p)) if p is not None else self.encoded([text])[0] for p, text in zip(parts, texts, strict=True)]
 
+    def forget(self) -> None:
+        """What was remembered goes, before the worker serves another operator."""
+        self.known, self.older = {}, {}
+
     def ids(self, text: str) -> bytes:
         return self.batch([text])[0]
 
@@ -186,7 +190,7 @@ _encoders: dict = {}
 
 
 def encoder(serialised: str, kind) -> Encoder:
-    """A worker's one encoder: what it remembers serves all its tasks."""
+    """A worker's one encoder, loaded once for all its tasks."""
     key = (hashlib.sha256(serialised.encode()).digest(), kind)
     if key not in _encoders:
         _encoders.clear()
