@@ -159,7 +159,7 @@ class Encoder:
         names = []
         tokenize, shown, real = self.tokenizer.model.tokenize, self.shown, self.kind.real
         for core in missing:
-            word = core[1:] if core[:1] == "\0" else core
+            word = core[1:] if not self.kind.fold and core[:1] == "\0" else core
             if word.isalpha() and (word.isascii() or max(word) < LETTERS):
                 known[core] = array("I", [t.id for t in tokenize(real(core).translate(shown) if word.isascii() else "".join([self.table[b] for b in real(core).encode()]))]).tobytes()
             else:
