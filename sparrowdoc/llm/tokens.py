@@ -12,8 +12,8 @@ import os
 import re
 from array import array
 
-#: Parts in each of the two generations that a worker remembers, about 170 bytes each.
-MEMORY = 500_000
+#: Parts that a worker remembers; then it starts anew. About 170 bytes each.
+MEMORY = 600_000
 
 
 def byte_table() -> list[str]:
@@ -125,9 +125,9 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes, by a tokenizer whose alphabet is bytes."""
 
     def __init__(self, serialised: str, kind, memory: int = MEMORY):
-        self.tokenizer, self.kind, self.memory = load(serialised), kind, memory
-        self.known, self.older = {}, {}
-        self.table, self.shown = byte_table(), {0x20: byte_table()[0x20]}
+        self.tokenizer, self.kind, self.memory, self.known = load(serialised), kind, memory, {}
+        self.table = byte_table()
+        self.lead = "" if kind.fold else self.table[0x20]
         self.tails = dict(zip(",.", self.encoded([",", "."]), strict=True))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
@@ -136,42 +136,38 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)]
         return out
 
+    def word(self, core: str) -> bytes:
+        """Ids of letters below LETTERS, by the model's merges alone."""
+        shown = core if core.isascii() else "".join([self.table[b] for b in core.encode()])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(self.lead + shown)]).tobytes()
+
     def learn(self, new: set[str]) -> None:
-        """A comma or full stop after an ASCII letter or digit is a token of its own, so that most parts are a word seen before."""
-        known, older, missing, cut = self.known, self.older, {}, []
+        """A comma or full stop after a letter is a token of its own, so that most parts are a word seen before."""
+        known, tails, fold, rest = self.known, self.tails, self.kind.fold, []
         for part in new:
-            if (ids := older.get(part)) is not None:
-                known[part] = ids
+            core, tail = part, None
+            if not part.isalpha():
+                core, tail = part[:-1], part[-1:]
+                if tail not in tails or not core.isalpha():
+                    rest.append(part)
+                    continue
+            if not core.isascii() and max(core) >= LETTERS:
+                rest.append(part)
                 continue
-            core, tail = part, part[-1:]
-            if tail in self.tails and part[-2:-1].isalnum() and part[-2:-1].isascii():
-                core = part[:-1]
-            else:
-                tail = ""
-            if self.kind.fold and (core.isascii() or (core.isalpha() and max(core) < LETTERS)):
+            if fold:
                 core = core.lower()
-            cut.append((part, core, tail))
-            if core not in known and core not in missing:
-                if (ids := older.get(core)) is not None:
-                    known[core] = ids
-                else:
-                    missing[core] = None
-        names = []
-        tokenize, shown, real = self.tokenizer.model.tokenize, self.shown, self.kind.real
-        for core in missing:
-            word = core[1:] if not self.kind.fold and core[:1] == "\0" else core
-            if word.isalpha() and (word.isascii() or max(word) < LETTERS):
-                known[core] = array("I", [t.id for t in tokenize(real(core).translate(shown) if word.isascii() else "".join([self.table[b] for b in real(core).encode()]))]).tobytes()
-            else:
-                names.append(core)
-        known.update(zip(names, self.encoded([real(x) for x in names]), strict=True))
-        for part, core, tail in cut:
-            known[part] = known[core] + self.tails[tail] if tail else known[core]
+            ids = known.get(core)
+            if ids is None:
+                ids = known[core] = self.word(core)
+            if tail:
+                known[part] = ids + tails[tail]
+            elif part is not core:
+                known[part] = ids
+        known.update(zip(rest, self.encoded([self.kind.real(x) for x in rest]), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """What was not asked for since the memory was last full is forgotten when it is full again."""
         if len(self.known) > self.memory:
-            self.known, self.older = {}, self.known
+            self.known = {}
         parts = [self.kind.parts(text) for text in texts]
         if new := set().union(*(p for p in parts if p is not None)).difference(self.known):
             self.learn(new)
@@ -180,7 +176,7 @@ class Encoder:
 
     def forget(self) -> None:
         """What was remembered goes, before the worker serves another operator."""
-        self.known, self.older = {}, {}
+        self.known = {}
 
     def ids(self, text: str) -> bytes:
         return self.batch([text])[0]
