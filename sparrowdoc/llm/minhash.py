@@ -10,8 +10,8 @@ costs about one point a shingle.
 
 Bands of the signature give candidates, and the multiset overlap of the shingles themselves decides.
 
-Within a bucket, rows are compared with a centre, never all with all; centres are drawn anew in each round, and only
-buckets whose members still lie in different classes go on.
+Within a bucket, rows are first compared with a centre; centres are drawn anew in each round, and only buckets whose
+members still lie in different classes go on. What centres have not joined in the end is compared in full, in blocks.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ from sparrowdoc.llm.common import BASE, U64, Scratch, components, grams, hashed_
 #: Registers, bands, and registers in a band: a pair of similarity 0.8 is missed with probability (1-0.8**4)**32, 5e-8.
 REGISTERS, BANDS, ROWS = 128, 32, 4
 SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets up to this size are compared across classes in full after the first round; larger ones by further centres.
+#: Buckets up to this size are compared across classes in full after the first round; larger ones by further centres,
+#: and in full after these.
 SMALL_BUCKET = 32
+#: Texts and bytes of a block in which a large bucket is compared in full, and shingles (columns) that are counted at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 128, 4 << 20, 1 << 14
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +147,46 @@ def verifier(least: float):
     return verify
 
 
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each two of the sets, as a matrix."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
+    column = np.cumsum(new) - 1
+    held = np.bincount(column)
+    twice = held[column] > 1
+    column, of = (np.cumsum(held > 1) - 1)[column[twice]], of[twice]
+    out = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), int(column[b - 1]) + 1 - low), np.float32)
+        part[of[a:b], column[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def block_links(least: float):
+    def links(table: pa.Table) -> pa.Table:
+        """(node, root, text) of a pair of blocks -> links (a, b) that join all roots with texts of at least that similarity."""
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        sets = [ordered_repeat(shingles(d, np.array([0, len(d)]))[0]) for d in (np.frombuffer(t.encode(), np.uint8) for t in table.column("text").to_pylist())]
+        both = shared(sets)
+        size = np.array([len(x) for x in sets])
+        either = size[:, None] + size[None, :] - both
+        label, out = np.unique(root, return_inverse=True)[1], []
+        near = np.triu((both > 0) & (both / np.maximum(either, 1) >= least) & (root[:, None] != root[None, :]))
+        for i, j in zip(*np.nonzero(near), strict=True):
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((node[i], node[j]))
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, rounds: int = 4) -> DataFrame:
     """One row for each row of docs: its id, class_id and class_size.
 
@@ -155,9 +198,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies are one node from the start. Candidates are bucket members against a bucket's centre, so that a bucket
     of n rows gives n pairs; in the first round the buckets of a group share a centre, later rounds draw one for each of
-    the buckets that still span classes, and small ones of these are compared in full across classes. A link
-    is lost only if its two texts meet in no bucket (5e-8 at the threshold), or share only large buckets of several
-    classes in each of which no centre of any round leads from one to the other.
+    the buckets that still span classes, and small ones of these are compared in full across classes. So are, after the
+    rounds, large ones that span classes still, in pairs of blocks: a bucket's largest class is not compared with itself. A
+    link is lost only if its two texts meet in no bucket (5e-8 at the threshold).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -174,10 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     nodes = texts.select("node", "h1", "h2")
 
-    def decided(pairs: DataFrame) -> DataFrame:
-        """The pairs whose texts are near, by their whole texts."""
-        pairs = scratch.keep(pairs.distinct())
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def texts_of(ends: DataFrame) -> DataFrame:
+        """(node, text) of the nodes, written."""
         wanted = scratch.keep(nodes.join(ends, "node"))
         bits = spark.sparkContext.broadcast(hashed_set(wanted, "h1"))
 
@@ -187,7 +228,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         some = rows.select("h1", "h2", "text").mapInArrow(sift, "h1 long, h2 long, text string")
         whole = some.join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("text"))
-        whole = scratch.keep(whole)
+        return scratch.keep(whole)
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts are near, by their whole texts."""
+        pairs = scratch.keep(pairs.distinct())
+        whole = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         out = pairs.join(whole.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         links = scratch.keep(out.select("a", "b", "ta", "tb").mapInArrow(verifier(threshold), "a long, b long"))
         scratch.drop(whole)
@@ -204,12 +250,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def rooted(links: DataFrame) -> DataFrame:
         return scratch.keep(components(scratch, links))
 
+    def spanning(roots: DataFrame) -> DataFrame:
+        """(bucket, node, n, root) of the buckets whose members lie in different classes."""
+        marked = filled.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = marked.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        return scratch.keep(marked.join(split, "bucket"))
+
+    def compared(members: DataFrame) -> DataFrame:
+        """Links between the classes of each bucket, from all pairs of its members but those of its largest class: that class
+        has blocks k..k+l-1, the other members 0..k-1, and a pair of blocks is a group."""
+        whole = texts_of(members.select("node").distinct())
+        sized = scratch.keep(members.select("bucket", "node", "root").join(whole.select("node", F.octet_length("text").alias("size")), "node"))
+        counts = sized.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+        blocks = lambda n, s: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(s / F.lit(BLOCK_BYTES)))
+        largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "root", "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+        dealt = largest.select("bucket", F.col("m.root").alias("main"), blocks(F.col("m.n"), F.col("m.s")).alias("l"), blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("k"))
+        own = F.xxhash64(F.lit(1), "node")
+        placed = sized.join(dealt, "bucket").withColumn("x", F.when(F.col("root") == F.col("main"), F.col("k") + F.pmod(own, F.col("l"))).otherwise(F.pmod(own, F.col("k"))))
+        met = placed.withColumn("y", F.explode(F.expr("sequence(0L, if(x < k, k + l, k) - 1)"))).select("bucket", "node", "root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+        return scratch.keep(met.join(whole, "node").groupBy("bucket", "i", "j").applyInArrow(block_links(threshold), "a long, b long").distinct())
+
     links = decided(starred(filled.withColumn("root", F.col("node")), 0))
     roots = rooted(links)
     for turn in range(1, rounds):
-        marked = filled.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = marked.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = scratch.keep(marked.join(split, "bucket"))
+        open_ = spanning(roots)
         if turn == 1:
             few = open_.where(F.col("n") <= SMALL_BUCKET)
             other = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -223,6 +287,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links = links.union(new)
         roots = rooted(links)
+    left = spanning(roots).where(F.col("n") > (SMALL_BUCKET if rounds > 1 else 1))
+    if not left.isEmpty():
+        links = links.union(compared(left))
+        roots = rooted(links)
     least = rows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     classed = nodes.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(least, ["h1", "h2"])
     classes = classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("n").alias("class_size"))

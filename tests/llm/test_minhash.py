@@ -77,6 +77,21 @@ def test_a_large_group_of_edits(spark):
     assert sorted((r.doc_id, r.class_id) for r in near_duplicates(docs).collect()) == brute(rows)
 
 
+def test_a_template_just_below_the_threshold(spark):
+    """A template of 40 parts of 10 words; each text has three inner parts, no two side by side, of words of its own. Two texts
+    are at most at 0.77 to each other, but the 40 pairs with the same parts replaced, which share nothing but the template, at 0.808."""
+    rng, seen, rows = np.random.default_rng(11), set(), []
+    while len(rows) < 1000:
+        parts = tuple(sorted(rng.choice(np.arange(1, 39), 3, replace=False)))
+        if parts in seen or min(np.diff(parts)) < 2:
+            continue
+        seen.add(parts)
+        for _ in range(2 if len(rows) < 80 else 1):
+            rows.append((len(rows), " ".join(f"x{len(rows)}_{k}" if k // 10 in parts else f"w{k}" for k in range(400))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates(docs).collect()) == [(i, i - i % 2 if i < 80 else i) for i in range(1000)]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(1, None), (2, ""), (3, " "), (4, "a b"), (5, "a  b"), (6, long), (7, long + " end"), (7, long + " end"), (None, "a b"), (None, None), (9, "é ü ß à ö"), (10, "é ü ß à ö x")]
