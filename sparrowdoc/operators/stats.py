@@ -57,17 +57,20 @@ def difference(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 def sign_p(wins: Column, losses: Column) -> Column:
     """Two-sided exact sign test: twice the smaller tail of the binomial at one half, at most 1.
 
-    Terms follow from one another, C(n,i+1) = C(n,i)(n-i)/(i+1), scaled by 2**-n from the start, so that doubles hold them
-    up to n of about 1000.
+    Terms follow from one another, C(n,i+1) = C(n,i)(n-i)/(i+1). Term and sum have a power of two of their own, which starts
+    at 2**-n and takes over whenever the term grows past 2**500, so that doubles hold them for any n.
     """
     n, k = (wins + losses).cast("int"), F.least(wins, losses).cast("int")
-    start = F.struct(F.pow(F.lit(2.0), -n).alias("term"), F.pow(F.lit(2.0), -n).alias("sum"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"), (-n).alias("power"))
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (n - i + 1) / i
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+        by = F.when(acc["term"] > 2.0**500, F.lit(2.0**-500)).otherwise(F.lit(1.0))
+        term = acc["term"] * by * (n - i + 1) / i
+        power = acc["power"] + F.when(acc["term"] > 2.0**500, F.lit(500)).otherwise(F.lit(0))
+        return F.struct(term.alias("term"), (acc["sum"] * by + term).alias("sum"), power.alias("power"))
 
-    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.expr("cast(array() as array<int>)")), start, step)["sum"]
+    last = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.expr("cast(array() as array<int>)")), start, step)
+    tail = last["sum"] * F.lit(2.0**-500) * F.pow(F.lit(2.0), last["power"] + 500)
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

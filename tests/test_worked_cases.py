@@ -371,3 +371,13 @@ def test_evidence_stops(spark):
     ]
     got = evidence.stops(spark.createDataFrame(rows, "query_id string, round int, degraded boolean, sufficient boolean, prompt_tokens int, next_query string, fresh int"), 3, 50)
     assert {r.query_id: r.stop_reason for r in got.collect()} == {"a": "sufficient", "b": "judge_degraded", "c": "token_budget", "d": "steps_exhausted", "e": "no_next_query", "f": "no_new_evidence", "g": "steps_exhausted"}
+
+
+def test_sign_test_of_many_items(spark):
+    for wins, losses in [(511, 512), (1000, 1000), (950, 1050), (0, 2000), (10_000, 10_000), (9_850, 10_150), (10_300, 9_700)]:
+        n, term, tail = wins + losses, 1, 1
+        for i in range(1, min(wins, losses) + 1):
+            term = term * (n - i + 1) // i
+            tail += term
+        p = spark.createDataFrame([(wins, losses)], "w long, l long").select(stats.sign_p(F.col("w"), F.col("l")).alias("p")).first().p
+        assert p == pytest.approx(min(1.0, 2 * tail / 2**n), rel=1e-9, abs=1e-300)
