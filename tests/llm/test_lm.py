@@ -7,6 +7,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowdoc.llm.common import U64
 from sparrowdoc.llm.lm import HEAD, SMOOTH, Model, Vocabulary, histories, score_texts
@@ -83,3 +84,15 @@ def test_learning_lowers_the_loss():
     for i in range(0, 6000, 500):
         model.step(history[i : i + 500], rank[i : i + 500])
     assert model.logs(history, rank).mean() > before + 3
+
+
+def test_words_of_middle_frequency_hang_on_history(spark):
+    """Words of ranks 512 to 1023 always follow one another in one order: texts in that order score above texts in another."""
+    rows = [(i, " ".join(f"h{(i * 37 + k) % 500}" for k in range(100))) for i in range(400)]
+    rows += [(1000 + i, " ".join(f"m{(i * 53 + k) % 400}" for k in range(60))) for i in range(400)]
+    ordered, other = [f"m{k}" for k in range(100, 200)], [f"m{100 + k * 37 % 100}" for k in range(100)]
+    held = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows += [(held[0], " ".join(ordered)), (held[1], " ".join(other))]
+    got = {r.doc_id: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where(F.col("doc_id").isin(held)).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 10
