@@ -1,7 +1,8 @@
 """Quality rules from line frequency across documents.
 
 Each document's lines are trimmed, lower-cased (A-Z) and hashed; a line's frequency is the number of distinct documents
-of its host that hold it. Lines above the host's limit are removed, and documents that lose too much are rejected.
+of its host that hold it. Lines above the host's limit are removed (cleaned() returns the texts without them), and documents that lose too much are
+rejected.
 """
 
 from __future__ import annotations
@@ -91,28 +92,79 @@ def _measure(batches):
             )
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """One row for each row of docs: its id, the base counts, base_failed, n_common_words and kept.
-
-    Words are runs of characters other than space and \\t..\\r. n_common_words: words in lines that are common in the
-    document's host. kept: false if base_failed (n_words < 10, or over a fifth of the words in repeated five-word
-    windows) or if the document is depleted without its common lines. Null and empty texts have no words and fail;
-    null hosts are one host; rows with a null or repeated id are one document when lines are counted, and each has
-    its own row in the result. Other columns are not read. An empty table gives no rows.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str, host_col: str, share: float, least_documents: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One decision on docs: (row, doc, host, base counts, n_common_words, base_failed, kept), and the rows' lines that are
+    common in their host (row, h, w). row is `row_col`, or else a number of its own."""
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    first = F.struct(F.col(id_col).alias("id"), F.col(row_col).alias("row")) if row_col else F.col(id_col)
+    rows = docs.select(first.alias("doc"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     table = scratch.keep(
         rows.mapInArrow(_measure, f"doc {kind}, host string, {STATS}, lines array<struct<h:long,w:long>>").withColumn("row", F.monotonically_increasing_id())
     )  # row ids hold from here on, as the table is written
+    if row_col:
+        table = table.withColumns({"doc": F.col("doc.id"), "row": F.col("doc.row")})
     own = table.select("row", "doc", "host", F.explode("lines").alias("l")).select("row", "doc", "host", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
     counts = own.select("host", "h", "doc").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_documents)
     hosts = table.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("all"))
     common = counts.join(hosts, "host").where(F.col("n") > share * F.col("all")).select("host", "h")
-    lost = own.join(common, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("n_common_words"))
+    gone = own.join(common, ["host", "h"]).select("row", "h", "w")
+    lost = gone.groupBy("row").agg(F.sum("w").alias("n_common_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_common_words")
     out = table.drop("lines").join(lost, "row", "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0).cast("long"))).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (left >= LEAST_WORDS) & (left >= LEAST_KEPT * F.col("n_words"))
-    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_common_words")
+    return out.withColumn("kept", kept), gone
+
+
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """One row for each row of docs: its id, the base counts, base_failed, n_common_words and kept.
+
+    Words are runs of characters other than space and \\t..\\r. n_common_words: words in lines that are common in the
+    document's host. kept: false if base_failed (n_words < 10, or over a fifth of the words in repeated five-word
+    windows) or if the document is depleted without its common lines. Null and empty texts have no words and fail;
+    null hosts are one host; rows with a null or repeated id are one document when lines are counted, and each has
+    its own row in the result. Other columns are not read. An empty table gives no rows.
+    """
+    out, _ = _decided(docs, id_col, text_col, host_col, share, least_documents)
+    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words")
+
+
+def _cut(at: int, names: list[str]):
+    def run(batches):
+        """(columns of docs, common hashes) -> the columns, the text at `at` without the lines of these hashes."""
+        for batch in batches:
+            for a, b, data, offsets in views(batch, at):
+                start, end, row = words(data, offsets)
+                ls, le, lrow = lines(data, offsets)
+                first, last = np.searchsorted(start, ls), np.searchsorted(end, le, side="right") - 1
+                inked = first <= last
+                hashes = np.zeros(len(ls), np.int64)
+                if inked.any():
+                    hashes[inked] = Rolling(LOWER[data]).slices(start[first[inked]], end[last[inked]]).view(np.int64)
+                cuts = np.searchsorted(lrow, np.arange(b - a + 1))
+                texts = []
+                for i, drop in enumerate(batch.column(len(names)).slice(a, b - a).to_pylist()):
+                    own = slice(cuts[i], cuts[i + 1])
+                    stays = ~(inked[own] & np.isin(hashes[own], np.array(drop or [], np.int64)))
+                    texts.append(b"\n".join(data[x:y].tobytes() for x, y in zip(ls[own][stays], le[own][stays], strict=True)).decode())
+                part = batch.slice(a, b - a)
+                columns = [pa.array(texts, part.schema.field(j).type) if j == at else part.column(j) for j in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """The rows of docs that line_rules() keeps, without the lines that are common in their host; all else as it is.
+
+    A line goes with the break that parts it from the next one; of lines that stay, not a byte changes, and neither do other
+    columns. Rows that fail, and rows depleted without their common lines, are left out.
+    """
+    scratch, names = Scratch(docs.sparkSession), [f"c{i}" for i in range(len(docs.columns))]
+    own = {c: names[docs.columns.index(c)] for c in (id_col, text_col, host_col)}
+    numbered = scratch.keep(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))  # names may clash
+    out, gone = _decided(numbered, own[id_col], own[text_col], own[host_col], share, least_documents, "row")
+    drop = gone.groupBy("row").agg(F.collect_list("h").alias("drop"))
+    kept = numbered.join(out.where("kept").select("row"), "row").join(drop, "row", "left").select(*names, "drop")
+    return kept.mapInArrow(_cut(docs.columns.index(text_col), names), numbered.drop("row").schema).toDF(*docs.columns)

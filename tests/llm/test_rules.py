@@ -3,7 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
-from sparrowdoc.llm.rules import line_rules
+from sparrowdoc.llm.rules import cleaned, line_rules
 
 DOCS = "doc_id long, text string, source string, n_words string, lines int"
 
@@ -49,3 +49,25 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert line_rules(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_texts_without_common_lines(spark, sf):
+    boiler = "Cookie Notice and some more words"
+    texts = [f"  {boiler.upper() if i % 2 else boiler}\t\n\n own words {i} a b c d é f g h {i}\n{boiler}" for i in range(30)]
+    rows = [(i, f"{t} x" if i % 3 else t, "h") for i, t in enumerate(texts)] + [(40, f"{boiler}\nonly a few more", "h"), (50, texts[5] + " y", None), (None, texts[6], "h"), (41, None, "h")]
+    rows += [(100_000 + r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    norm = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip("\x20\t\n\x0b\f\r"))
+    holds, hosts = defaultdict(set), defaultdict(set)
+    for i, t, s in rows:
+        hosts[s or ""].add(i)
+        for line in (t or "").split("\n"):
+            holds[s or "", norm(line)].add(i)
+    common = {k for k, v in holds.items() if k[1] and len(v) >= 10 and len(v) > 0.02 * len(hosts[k[0]])}
+    decided = {r[0]: r[7] for r in brute(rows)}
+    kept = [r for r in rows if decided[r[0]]]
+    want = [(i, "\n".join(x for x in t.split("\n") if (s or "", norm(x)) not in common), s) for i, t, s in kept]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS).repartition(3)
+    out = cleaned(docs)
+    assert out.columns == docs.columns
+    assert sorted([(r.doc_id, r.text, r.source) for r in out.collect()], key=str) == sorted(want, key=str)
+    assert any((i, t, s) not in rows for i, t, s in want) and all(tuple(r)[3:] == ("x", 1) for r in out.collect())
