@@ -187,21 +187,8 @@ def block_links(least: float):
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, rounds: int = 4) -> DataFrame:
-    """One row for each row of docs: its id, class_id and class_size.
-
-    class_id: the smallest id among the rows whose texts are linked, over any number of steps, by a multiset
-    similarity of five-word shingles of at least `threshold`; texts that are equal are always linked. Other columns
-    of docs are not read. Null text counts as empty; empty texts are copies of each other and near to nothing else,
-    and so are texts of white space only, each of its own kind. A null id stays null and is no class's id unless all
-    ids of the class are null. Repeated rows are copies. An empty table gives no rows.
-
-    Copies are one node from the start. Candidates are bucket members against a bucket's centre, so that a bucket
-    of n rows gives n pairs; in the first round the buckets of a group share a centre, later rounds draw one for each of
-    the buckets that still span classes, and small ones of these are compared in full across classes. So are, after the
-    rounds, large ones that span classes still, in pairs of blocks: a bucket's largest class is not compared with itself. A
-    link is lost only if its two texts meet in no bucket (5e-8 at the threshold).
-    """
+def _known(docs: DataFrame, id_col: str, text_col: str, threshold: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, h1, h2) of each row, and (h1, h2, root, class_id, class_size) of each text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     small_batches(spark)
@@ -294,19 +281,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     classed = nodes.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(least, ["h1", "h2"])
     classes = classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("n").alias("class_size"))
-    known = scratch.keep(classed.select("h1", "h2", "root").join(classes, "root").select("h1", "h2", "class_id", "class_size"))
-    return rows.select("doc", "h1", "h2").join(known, ["h1", "h2"]).select(F.col("doc").alias(id_col), "class_id", "class_size")
+    known = scratch.keep(classed.select("h1", "h2", "root").join(classes, "root").select("h1", "h2", "root", "class_id", "class_size"))
+    return rows.select("doc", "h1", "h2"), known
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, rounds: int = 4) -> DataFrame:
+    """One row for each row of docs: its id, class_id and class_size.
+
+    class_id: the smallest id among the rows whose texts are linked, over any number of steps, by a multiset
+    similarity of five-word shingles of at least `threshold`; texts that are equal are always linked. Other columns
+    of docs are not read. Null text counts as empty; empty texts are copies of each other and near to nothing else,
+    and so are texts of white space only, each of its own kind. A null id stays null and is no class's id unless all
+    ids of the class are null. Repeated rows are copies. An empty table gives no rows.
+
+    Copies are one node from the start. Candidates are bucket members against a bucket's centre, so that a bucket
+    of n rows gives n pairs; in the first round the buckets of a group share a centre, later rounds draw one for each of
+    the buckets that still span classes, and small ones of these are compared in full across classes. So are, after the
+    rounds, large ones that span classes still, in pairs of blocks: a bucket's largest class is not compared with itself. A
+    link is lost only if its two texts meet in no bucket (5e-8 at the threshold).
+    """
+    rows, known = _known(docs, id_col, text_col, threshold, rounds)
+    return rows.join(known, ["h1", "h2"]).select(F.col("doc").alias(id_col), "class_id", "class_size")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each near-duplicate class: that of the smallest id, and of rows with that id the first.
+    """docs with one row of each near-duplicate class: that of the smallest id, and of the class's rows with that id one.
 
-    All columns stay as they are. Rows whose id is null stay: nothing says which document they are.
+    Unrelated texts under one id are of different classes and each stays. All columns stay as they are. Rows whose id is null
+    stay: nothing says which document they are.
     """
-    classes = near_duplicates(docs, id_col, text_col, threshold).where("class_id is not null").select(F.col("class_id").alias("__kept")).distinct()
+    _, known = _known(docs, id_col, text_col, threshold, 4)
     ids = [f"__c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*ids)  # names may clash with those used here
-    key = ids[docs.columns.index(id_col)]
-    kept = plain.join(classes, F.col(key) == F.col("__kept"), "left_semi")
-    once = kept.dropDuplicates([key])
+    key, text = ids[docs.columns.index(id_col)], F.coalesce(F.col(ids[docs.columns.index(text_col)]).cast("string"), F.lit(""))
+    classes = known.where("class_id is not null").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("root").alias("__root"), F.col("class_id").alias("__kept"))
+    hashed = plain.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(7), text)})
+    kept = hashed.join(classes, (hashed["__h1"] == classes["__h1"]) & (hashed["__h2"] == classes["__h2"]) & (F.col(key) == F.col("__kept")))
+    once = kept.select(*ids, "__root").dropDuplicates(["__root"]).drop("__root")
     return once.unionByName(plain.where(F.col(key).isNull())).toDF(*docs.columns)

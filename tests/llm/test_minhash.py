@@ -103,6 +103,13 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 6, 9, 10]
 
 
+def test_one_row_for_each_class_where_ids_repeat(spark):
+    """Id 1 has two unrelated texts; id 2 has a copy of the first and a text of its own."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(*r, "c", 1) for r in [(1, a), (1, b), (2, a + " more"), (2, c), (3, c), (1, a)]], DOCS)
+    assert sorted((r.doc_id, r.text) for r in deduplicated(docs).collect()) == [(1, a), (1, b), (2, c)]
+
+
 @pytest.mark.parametrize("f", [near_duplicates, deduplicated])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], DOCS)).count() == 0
