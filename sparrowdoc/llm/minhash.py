@@ -30,7 +30,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: and in full after these.
 SMALL_BUCKET = 32
 #: Texts and bytes of a block in which a large bucket is compared in full, and shingles (columns) that are counted at once.
-BLOCK, BLOCK_BYTES, COLUMNS = 128, 4 << 20, 1 << 14
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 1 << 14
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
