@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,23 +23,39 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
-_powers: dict[int, np.ndarray] = {}
+LOW = 12
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.empty(size, U64)
-        have[0] = 1
+@functools.cache
+def _power_tables(base: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i for i below 2**LOW, and base**(i * 2**LOW) for i below `high`."""
+
+    def table(b: int, n: int) -> np.ndarray:
+        out = np.ones(n, U64)
         done = 1
-        while done < size:
-            step = min(done, size - done)
-            have[done : done + step] = have[:step] * U64(pow(base, done, 1 << 64))
+        while done < n:
+            step = min(done, n - done)
+            out[done : done + step] = out[:step] * U64(pow(b, done, 1 << 64))
             done += step
-        _powers[base] = have
-    return have[:n]
+        return out
+
+    return table(base, 1 << LOW), table(pow(base, 1 << LOW, 1 << 64), high)
+
+
+def _tables_for(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _power_tables(base, max(1 << LOW, 1 << ((n >> LOW) + 1).bit_length()))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; what is kept between calls is a few thousand numbers."""
+    low, high = _tables_for(base, n)
+    return (high[: (n >> LOW) + 1, None] * low).ravel()[:n]
+
+
+def powers_at(base: int, at: np.ndarray, n: int) -> np.ndarray:
+    """base**at modulo 2**64 for an array of exponents below n."""
+    low, high = _tables_for(base, n)
+    return high[at >> LOW] * low[at & ((1 << LOW) - 1)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,7 +86,7 @@ class Rolling:
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hashes of data[start:end], for arrays of positions; the length is part of the hash."""
         out = self.sums[end] - self.sums[start]
-        out *= powers(INVERSE, len(self.sums))[start]
+        out *= powers_at(INVERSE, start, len(self.sums))
         out ^= (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
         return mix(out)
 
@@ -94,7 +111,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def views(batch: pa.RecordBatch, column: int, most: int = 2 << 20, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def views(batch: pa.RecordBatch, column: int, most: int = 1 << 20, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows of about `most` bytes of text: (first row, row after the last, bytes, offsets).
 
     Null texts count as empty. A single text over the limit is a run of its own, whole.
@@ -210,25 +227,33 @@ def tidy(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir, which all executors see. Without the setting a local session gets a temporary
+    folder; on a cluster executors would not share one, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        had = context._jsc.sc().getCheckpointDir()
-        if had.isDefined():
-            return had.get()
-        found = tempfile.mkdtemp(prefix="sparrowdoc-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        context.setCheckpointDir(found)
+    if found:
+        return found
+    context = spark.sparkContext
+    had = context._jsc.sc().getCheckpointDir()
+    if had.isDefined():
+        return had.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = tempfile.mkdtemp(prefix="sparrowdoc-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    context.setCheckpointDir(found)
     return found
 
 
 class Scratch:
-    """Intermediate tables written as Parquet to the shared folder: cuts lineage, survives lost executors."""
+    """Intermediate tables written as Parquet to the shared folder: cuts lineage, survives lost executors.
+
+    close() removes all tables but those that a lazy result still reads; these go when the driver's Python ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/sparrow-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.held = 0, set()
+        atexit.register(self._end)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -236,15 +261,33 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._sparrow_path = path
+        self.held.add(path)
         return out
 
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self, df: DataFrame) -> None:
         """Removes a table that no later plan reads."""
         path = getattr(df, "_sparrow_path", None)
-        if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in self.held:
+            self.held.discard(path)
+            self._delete(path)
+
+    def close(self, *needed: DataFrame) -> None:
+        """Removes every table but those needed."""
+        stay = {getattr(df, "_sparrow_path", None) for df in needed}
+        for path in self.held - stay:
+            self.held.discard(path)
+            self._delete(path)
+
+    def _end(self) -> None:
+        if self.held and not self.spark.sparkContext._jsc.sc().isStopped():
+            try:
+                self._delete(self.root)
+            except Exception:  # the gateway may end before Python does; the folder's owner clears it then
+                pass
 
 
 # -- a set of bounded size ----------------------------------------------------------------------------------------------

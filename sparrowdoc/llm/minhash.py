@@ -282,6 +282,7 @@ def _known(docs: DataFrame, id_col: str, text_col: str, threshold: float, rounds
     classed = nodes.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(least, ["h1", "h2"])
     classes = classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("n").alias("class_size"))
     known = scratch.keep(classed.select("h1", "h2", "root").join(classes, "root").select("h1", "h2", "root", "class_id", "class_size"))
+    scratch.close(known)
     return rows.select("doc", "h1", "h2"), known
 
 
