@@ -36,7 +36,7 @@ LENGTH, SHORT, GRAM = 400, 256, 48
 #: A passage that is counted in words has more than so many.
 WORDS = 50
 #: Batches in which a whole table is added.
-BATCHES = 3
+BATCHES = 2
 #: Contexts of a class that one task takes at most (about 0.6 KB each), of a block, and of a run of suffixes.
 CLASS, BLOCK, RUN = 20_000, 4096, 1024
 #: Windows whose hashes are held at a time.
