@@ -52,6 +52,21 @@ def collapsed(x: Column | str, most: int = 120) -> Column:
 # -- tokens and sentences -------------------------------------------------------------------------------------------------
 
 
+def token_count(x: Column | str) -> Column:
+    """The number of tokens() of a text, without an array of them."""
+    return F.regexp_count(F.coalesce(col(x), F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
+
+
+def url_host(x: Column | str) -> Column:
+    """The host of an address, lower-cased; NULL where there is none."""
+    return F.lower(F.nullif(F.regexp_extract(col(x), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
+
+
+def usable_contexts(contexts: Column | str) -> Column:
+    """Do recorded contexts begin with a numbered one; older records hold bare texts, and none is as good as none."""
+    return F.coalesce(F.get(col(contexts), F.lit(0)).startswith("[1]"), F.lit(False))
+
+
 def tokens(x: Column | str, bigrams: bool = False) -> Column:
     """Lower-cased runs of letters and digits; with bigrams, runs of Han characters become overlapping pairs."""
     words = F.regexp_extract_all(F.lower(F.coalesce(col(x), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

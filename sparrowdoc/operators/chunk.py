@@ -1,9 +1,11 @@
-"""Documents to chunks: fixed windows as column expressions, structural chunks and sentence windows as a fold over a document."""
+"""Documents to chunks: fixed windows as column expressions, structural chunks and sentence windows by marks of a document's blocks."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,76 +39,68 @@ def cut_sentences(text: str, ends: str = SENTENCE_ENDS) -> list[str]:
 def sentence_windows(text: str, most: int = MOST, back: float = BACK, lossless: bool = True, ends: str = SENTENCE_ENDS) -> list[str]:
     """Windows of whole sentences of at most `most` characters; each begins with the end of the one before it.
 
-    A longer sentence is a window of its own: cut into parts of that length, or, not lossless, its head alone.
+    Where a window ends and the next begins are two searches in the sentences' running lengths. A longer sentence is a window
+    of its own: cut into parts of that length, or, not lossless, its head alone.
     """
     pieces = cut_sentences(text, ends)
-    out, at = [], 0
-    while at < len(pieces):
-        to, used = at, 0
-        while to < len(pieces) and (to == at or used + len(pieces[to]) <= most):
-            used += len(pieces[to])
-            to += 1
-        window = "".join(pieces[at:to])
-        out += [window[i : i + most] for i in range(0, len(window), most)] if lossless else [window[:most]]
-        if to >= len(pieces):
-            break
-        start, held = to, 0
-        while start > at + 1 and held < int(most * back):
-            start -= 1
-            held += len(pieces[start])
-        at = start
+    until = [0, *accumulate(map(len, pieces))]
+    out, first = [], 0
+    while first < len(pieces):
+        after = max(first + 1, bisect_right(until, until[first] + most) - 1)
+        window = "".join(pieces[first:after])
+        out.extend(window[i : i + most] for i in range(0, len(window) if lossless else 1, most))
+        # the last sentence from which `back` of a window stands before the end, but always one further than now
+        first = len(pieces) if after == len(pieces) else max(first + 1, bisect_right(until, until[after] - int(most * back)) - 1)
+    return out
+
+
+def chunk_marks(kinds: list[str], sizes: list[int], most: int = MOST, flush: int = FLUSH_AT_HEADING) -> list[int]:
+    """The chunk of each block, from 1 in order; headings have 0. A table is alone; text shares a chunk until it has `most`
+    characters, a table comes, or a heading does when it has `flush`."""
+    marks, number, held = [], 0, 0
+    for kind, size in zip(kinds, sizes, strict=True):
+        if kind == "heading":
+            held = 0 if held >= flush else held
+            marks.append(0)
+            continue
+        number += kind == "table" or not held
+        marks.append(number)
+        held = 0 if kind == "table" or held + size >= most else held + size
+    return marks
+
+
+def section_paths(kinds: list[str], levels: list[int | None], texts: list[str]) -> list[list[str]]:
+    """The headings above each block: each takes the place of its level, or the next free one, and what was below goes."""
+    path: list[str] = []
+    out = []
+    for kind, level, text in zip(kinds, levels, texts, strict=True):
+        if kind == "heading":
+            path = [*path[: max(level or 1, 1) - 1], text.strip()]
+        out.append(path)
     return out
 
 
 def structural(blocks: list[dict], most: int = MOST, lossless: bool = True, ends: str = SENTENCE_ENDS) -> list[dict]:
     """Blocks -> chunks {text, section_path, page, block_type}, in order.
 
-    A table is a chunk. A heading waits until content follows, and then replaces the path from its level on. Body text is
-    closed when it is long, or by a heading when it is long enough. Headings that nothing follows are a chunk.
+    A chunk's path is that above its last block, its page the first one there is, its type that of its first block; text longer
+    than `most` is cut into sentence windows. Headings after all other blocks are a chunk without a page, under the path of what
+    stands before them.
     """
-    path: list[str] = []
-    waiting: list[dict] = []
-    body: list[dict] = []
-    out: list[dict] = []
-
-    def commit() -> None:
-        nonlocal path
-        for h in waiting:
-            path = [*path[: max(1, h.get("heading_level") or 1) - 1], h["text"].strip()]
-        waiting.clear()
-
-    def close() -> None:
-        text = "\n".join(b["text"] for b in body)
-        page = next((b["page"] for b in body if b.get("page") is not None), None)
-        for piece in sentence_windows(text, most, BACK, lossless, ends) if len(text) > most else [text]:
-            if piece.strip():
-                out.append({"text": piece, "section_path": list(path), "page": page, "block_type": body[0]["type"]})
-        body.clear()
-
-    for b in blocks:
-        if not (b.get("text") or "").strip():
-            continue
-        if b["type"] == "heading":
-            if sum(len(x["text"]) for x in body) >= FLUSH_AT_HEADING:
-                close()
-            waiting.append(b)
-        elif b["type"] == "table":
-            if body:
-                close()
-            commit()
-            out.append({"text": b["text"], "section_path": list(path), "page": b.get("page"), "block_type": "table"})
-        else:
-            if waiting and not body:
-                commit()
-            elif waiting:
-                commit()
-            body.append(b)
-            if sum(len(x["text"]) for x in body) >= most:
-                close()
-    if body:
-        close()
-    if waiting:
-        out.append({"text": "\n".join(h["text"] for h in waiting), "section_path": list(path), "page": None, "block_type": "heading"})
+    rows = [b for b in blocks if (b.get("text") or "").strip()]
+    kinds = ["heading" if b["type"] == "heading" else "table" if b["type"] == "table" else "text" for b in rows]
+    marks = chunk_marks(kinds, [len(b["text"]) for b in rows], most)
+    paths = section_paths(kinds, [b.get("heading_level") for b in rows], [b["text"] for b in rows])
+    out = []
+    for mark, members in groupby((i for i, m in enumerate(marks) if m), key=marks.__getitem__):
+        own = [*members]
+        text = "\n".join(rows[i]["text"] for i in own)
+        pieces = sentence_windows(text, most, BACK, lossless, ends) if kinds[own[0]] == "text" and len(text) > most else [text]
+        page = next((rows[i]["page"] for i in own if rows[i].get("page") is not None), None)
+        out += [{"text": x, "section_path": paths[own[-1]], "page": page, "block_type": rows[own[0]]["type"]} for x in pieces if x.strip()]
+    last = max((i for i, m in enumerate(marks) if m), default=-1)
+    if last + 1 < len(rows):
+        out.append({"text": "\n".join(b["text"] for b in rows[last + 1 :]), "section_path": paths[last] if last >= 0 else [], "page": None, "block_type": "heading"})
     return out
 
 
@@ -114,7 +108,7 @@ CHUNKS = "doc_id string, chunk_no int, chunk_id string, text string, section_pat
 
 
 def chunk_structural(docs: DataFrame, most: int = MOST, lossless: bool = True, ends: str = SENTENCE_ENDS) -> DataFrame:
-    """(doc_id, blocks) -> chunks numbered from 1 in each document; the fold needs a document's blocks in order, one row each."""
+    """(doc_id, blocks) -> chunks numbered from 1 in each document; a document's blocks are one row."""
 
     def run(batches):
         for batch in batches:

@@ -169,3 +169,30 @@ def repeat_spans(runs: DataFrame, run: str, metric: str, value: str) -> DataFram
     n = runs.select(F.countDistinct(run).alias("runs"))
     out = runs.where(F.col(value).isNotNull()).groupBy(metric).agg(F.countDistinct(run).alias("have"), (F.max(value) - F.min(value)).alias("span"))
     return out.crossJoin(F.broadcast(n)).where("have = runs").select(metric, F.round("span", DIGITS).alias("span"))
+
+
+def usage_totals(rows: DataFrame, by: list[str], usage: str = "usage", kinds: tuple[str, ...] = ("prompt_tokens", "completion_tokens", "reasoning_tokens")) -> DataFrame:
+    """Sums of recorded usage (a struct) and the number of rows that have any; a row without is not a row of 0. A kind that a
+    record lacks adds nothing."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count(usage).alias("usage_n"), *(F.sum(F.when(F.col(usage).isNotNull(), F.coalesce(F.col(f"{usage}.{k}"), F.lit(0)))).cast("long").alias(k) for k in kinds))
+
+
+#: Targets of the two kinds of question, in milliseconds, and the types of the first kind.
+TARGETS, AGGREGATE_TYPES = {"aggregate": 5000, "short": 8000}, ("cross_doc", "time_filter")
+
+
+def latency_targets(log: DataFrame, kind: str, total: str, cached: Column, with_answers: bool = True) -> DataFrame:
+    """bucket, target_ms, n_uncached, p95, meets for aggregate and short questions: quantiles of uncached answers alone;
+    NULL, not met, where any answer of the whole run was cached, or none was asked for."""
+    own = log.withColumn("__c", cached).withColumn("bucket", F.when(F.col(kind).isin(*AGGREGATE_TYPES), "aggregate").otherwise("short"))
+    tainted = own.agg(F.coalesce(F.max("__c"), F.lit(False)).alias("tainted"))  # one row
+    rows = own.groupBy("bucket").agg(F.count(F.when(~F.col("__c"), F.col(total))).alias("n_uncached"), F.round(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN NOT __c THEN {total} END)"), 1).alias("p95"))
+    target = F.when(F.col("bucket") == "aggregate", F.lit(TARGETS["aggregate"])).otherwise(F.lit(TARGETS["short"]))
+    ok = F.when(~F.col("tainted") & F.lit(with_answers) & F.col("p95").isNotNull(), F.col("p95") <= target)
+    return rows.crossJoin(F.broadcast(tainted)).select("bucket", target.alias("target_ms"), "n_uncached", "p95", ok.alias("meets"))
+
+
+def date_coverage(docs: DataFrame, by: str, date: str, least: int = 2000) -> DataFrame:
+    """Documents of each group, those dated in a year of `least` or later, and their share."""
+    dated = F.count_if(F.coalesce(F.year(date) >= least, F.lit(False)))
+    return docs.groupBy(by).agg(F.count("*").alias("n"), dated.alias("dated"), F.round(dated / F.count("*"), DIGITS).alias("coverage"))

@@ -6,9 +6,11 @@ import math
 import random
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparrowdoc.operators.places import placed
+
 DIGITS, TIE = 4, 1e-9
 #: Older names of metrics, and what they are called now.
 METRIC_ALIASES = {"hit_within_budget": "hit_at_list", "mean_doc_coverage": "recall_at_list", "coverage_vs_ceiling": "recall_vs_ceiling", "keypoint_hit_ratio": "keypoint_recall"}
@@ -110,20 +112,44 @@ def bootstrap(pairs: DataFrame, by: str, item: str = "item_id", resamples: int =
 
 def prefix_means(pairs: DataFrame, sizes: tuple[int, ...] = (15, 30), item: str = "item_id") -> DataFrame:
     """Mean difference of the first items by id, for each size and for all."""
-    placed = pairs.withColumn("i", F.row_number().over(Window.orderBy(item)))
-    total = F.count("*").over(Window.partitionBy())
-    out = placed.withColumn("total", total).withColumn("size", F.explode(F.concat(F.array(*map(F.lit, sizes)), F.array(F.col("total").cast("int")))))
-    return out.where("i <= size").groupBy("size").agg(F.count("*").alias("n"), F.round(F.avg("diff"), DIGITS).alias("mean_diff"))
-
-
-def length_warnings(base: DataFrame, other: DataFrame, columns: list[str], item: str = "item_id") -> DataFrame:
-    """Columns whose means differ between the arms over their common items: a reading of quality is then in doubt."""
-    out = None
-    both = base.select(item, *(F.col(c).alias(f"a_{c}") for c in columns)).join(other.select(item, *(F.col(c).alias(f"b_{c}") for c in columns)), item)
-    for c in columns:
-        one = both.agg(F.avg(f"a_{c}").alias("a"), F.avg(f"b_{c}").alias("b")).select(F.lit(c).alias("column"), F.round("a", DIGITS).alias("base_mean"), F.round("b", DIGITS).alias("other_mean"), F.coalesce(F.abs(F.col("a") - F.col("b")) > TIE, F.lit(False)).alias("warns"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    own = placed(pairs, [item], "__i", "__n").withColumn("size", F.explode(F.concat(F.array(*map(F.lit, sizes)), F.array(F.col("__n").cast("int")))))
+    return own.where(F.col("__i") < F.col("size")).groupBy("size").agg(F.count("*").alias("n"), F.round(F.avg("diff"), DIGITS).alias("mean_diff"))
+
+
+def largest_drops(pairs: DataFrame, item: str = "item_id", most: int = 5) -> DataFrame:
+    """The items that lost most, ties by id."""
+    return pairs.select(item, F.round("diff", DIGITS).alias("diff")).orderBy("diff", item).limit(most)
+
+
+#: What an unequal mean of the arms means for a difference, by the track of its metric.
+WARNINGS = {
+    "retrieval": {"list_len": "measures length in part", "ctx_len": "measures length in part", "ceiling": "read the ratio to the ceiling"},
+    "ragas": {"list_len": "measures length in part", "ctx_len": "favours the longer arm", "ceiling": "read the ratio to the ceiling"},
+    "answer": {"k": "other denominator"},
+}
+
+
+def length_warnings(base: DataFrame, other: DataFrame, track: str = "retrieval", item: str = "item_id") -> DataFrame:
+    """column, base_mean, other_mean, warns, meaning: what differs between the arms over their common items, so that a difference
+    of quality is in doubt.
+
+    Which columns count hangs on the track; an answer is judged by its text, so only its number of key points does. A mean is over
+    the items that have a value, and an arm without any warns of nothing.
+    """
+    columns = WARNINGS[track]
+    a = base.select(item, *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = other.select(item, *(F.col(c).alias(f"b_{c}") for c in columns))
+    means = a.join(b, item).agg(*(F.avg(c).alias(c) for x in columns for c in (f"a_{x}", f"b_{x}")))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.round(f"a_{c}", DIGITS).alias("base_mean"), F.round(f"b_{c}", DIGITS).alias("other_mean"), F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) > TIE, F.lit(False)).alias("warns"), F.lit(m).alias("meaning")) for c, m in columns.items()))
+    return means.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def sweep(spark: SparkSession, pairs: DataFrame, metrics: tuple[str, ...], by: str = "test") -> DataFrame:
+    """One row for each metric: its difference, p and Holm's p among the metrics that have any pair. The others are unscored:
+    no part of the family, but not left out of the report."""
+    scored = difference(pairs.where(F.col(by).isin(*metrics)), [by]).withColumn("p", F.round(sign_p(F.col("wins"), F.col("losses")), 6))
+    asked = spark.createDataFrame([(m,) for m in metrics], f"{by} string")
+    return asked.join(holm(scored, order=by), by, "left").withColumn("unscored", F.col("n").isNull())
 
 
 def kappa(rows: DataFrame, a: Column, b: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparrowdoc.functions import text as T
-from sparrowdoc.operators import chunk, provenance
+from sparrowdoc.operators import chunk, metrics, provenance
 from sparrowdoc.plans.catalogue import query
 from sparrowdoc.sources import tables
 
@@ -181,3 +181,46 @@ UNION ALL SELECT 'todo', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc
 def resume_todo(spark, t):
     reuse, todo = provenance.resume(t("documents").select("doc_id"), t("labels"), "doc_id", F.col("toxic") == 1)
     return reuse.agg(F.lit("reuse").alias("what"), F.count("*").alias("n")).union(todo.agg(F.lit("todo"), F.count("*")))
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), n AS (SELECT doc_id, length(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS n FROM p), a AS (SELECT doc_id AS file, count(*) AS pages, round(sum(n) / count(*), 1) AS chars_per_page, count(*) FILTER (n < 20) AS near_empty_pages, (count(*) * (doc_id % 3))::BIGINT AS images FROM n GROUP BY doc_id)
+SELECT *, chars_per_page < 50 AS scan_suspect, chars_per_page < 50 AND images > 0 AS scan_likely, chars_per_page < 50 AND images = 0 AS near_empty FROM a""")
+def page_profile(spark, t):
+    """Each line of a document as a page, with some images."""
+    pages = t("documents").select(F.col("doc_id").alias("file"), F.explode(F.split("text", "\n")).alias("text"), F.expr("doc_id % 3").alias("images"))
+    return tables.page_profile(pages)
+
+
+@query("""WITH f AS (SELECT 'raw/' || CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END || 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.pdf' ELSE '' END AS p, doc_id FROM documents)
+SELECT CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.docx' WHEN 2 THEN '.pdf' ELSE 'none' END AS suffix, count(*) AS files FROM f WHERE doc_id % 17 <> 0 GROUP BY 1""")
+def suffix_counts(spark, t):
+    path = F.expr("concat('raw/', case when doc_id % 17 = 0 then '.' else '' end, 'd', doc_id, case doc_id % 4 when 0 then '.PDF' when 1 then '.docx' when 2 then '.pdf' else '' end)")
+    return tables.suffix_counts(t("documents").select(path.alias("path")))
+
+
+@query("""SELECT CASE WHEN n_chars >= 50 THEN 'text' WHEN doc_id % 3 = 0 THEN 'near_empty' WHEN doc_id % 3 = 1 THEN 'ocr_applied' ELSE 'ocr_unavailable' END AS outcome, count(*) AS n, array_to_string(list(lpad(doc_id::VARCHAR, 9, '0') ORDER BY lpad(doc_id::VARCHAR, 9, '0')), ',') AS names FROM documents WHERE n_chars < 400 GROUP BY 1""")
+def outcome_names(spark, t):
+    rows = t("documents").where("n_chars < 400").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.col("n_chars").alias("chars"), F.lit(1).alias("pages"), F.expr("doc_id % 3").alias("images"), F.expr("case when doc_id % 3 = 1 then text end").alias("ocr"))
+    out = tables.outcomes_with_names(rows.withColumn("outcome", tables.parsing_outcome("chars", "pages", "images", "ocr")), "outcome", "name")
+    return out.withColumn("names", F.array_join("names", ","))
+
+
+@query(r"""SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1""")
+def page_hosts(spark, t):
+    return t("pages").groupBy(T.url_host("url").alias("host")).agg(F.count("*").alias("pages"))
+
+
+@query("""SELECT o_orderstatus, count(*) AS n, count(*) FILTER (year(o_orderdate) >= 1995) AS dated, round(count(*) FILTER (year(o_orderdate) >= 1995) / count(*), 4) AS coverage FROM orders GROUP BY 1""")
+def date_coverage(spark, t):
+    return metrics.date_coverage(t("orders"), "o_orderstatus", "o_orderdate", 1995)
+
+
+@query("""WITH e AS (SELECT 'k' || user_id AS key, event_type AS model, value, ts, event_id FROM events), p AS (SELECT key, arg_max(struct_pack(model, value), event_id) AS m FROM e GROUP BY 1),
+c AS (SELECT key, m.model AS model, m.value AS value FROM p WHERE m.model IS DISTINCT FROM 'click'), a AS (SELECT DISTINCT 'k' || (user_id + 3) AS key FROM events) SELECT key, model, value, c.key IS NOT NULL AS hit FROM a LEFT JOIN c USING (key)""")
+def cache_replay(spark, t):
+    """Answers put one after another, a model cleared, keys asked for."""
+    e = t("events").select(F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("model"), "value", F.col("event_id").alias("at"))
+    cache = tables.cache_put(e.where("false"), e.where("at % 2 = 0"))
+    cache = tables.cache_put(cache, e.where("at % 2 = 1").union(cache))
+    asked = t("events").select(F.concat(F.lit("k"), (F.col("user_id") + 3).cast("string")).alias("key")).distinct()
+    return tables.cache_get(tables.cache_clear(cache, "click"), asked).select("key", "model", "value", "hit")

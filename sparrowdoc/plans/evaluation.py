@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowdoc.functions import text as T
 from sparrowdoc.operators import metrics as M
-from sparrowdoc.operators import retrieve, robustness, stats
+from sparrowdoc.operators import places, retrieve, robustness, stats
 from sparrowdoc.plans.catalogue import query
 from sparrowdoc.plans.retrieval import DENSE, dense_results
 
@@ -91,15 +91,9 @@ def must_contain_strict(spark, t):
     return items.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("strict", F.lit(0)).cast("long").alias("strict"), F.coalesce("any_of", F.lit(0)).cast("long").alias("any_of"))
 
 
-def _grams_contain(texts, asked, width=12):
-    """(key, doc_id) of texts (doc_id, text) that contain a phrase (key, phrase) of at least `width` characters, by the hash of
-    its head among the texts' grams; shorter ones are compared with each text."""
-    long = asked.where(F.length("phrase") >= width).withColumn("h", F.xxhash64(F.substring("phrase", 1, width)))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - width + 1), lambda i: F.xxhash64(F.substring("text", i, F.lit(width)))))
-    hits = texts.where(F.length("text") >= width).select("doc_id", F.explode(grams).alias("h")).join(long.select("h", "key"), "h").select("doc_id", "key")
-    sure = hits.join(long.select("key", "phrase"), "key").join(texts, "doc_id").where(F.contains("text", "phrase")).select("key", "doc_id")
-    few = texts.join(asked.where(F.length("phrase") < width), F.contains("text", F.col("phrase"))).select("key", "doc_id")
-    return sure.union(few).distinct()
+def _grams_contain(texts, asked):
+    """(key, doc_id) of texts (doc_id, text) that contain a phrase (key, phrase)."""
+    return retrieve.holding(texts, asked, "doc_id", "text", "phrase").join(asked, "phrase").select("key", "doc_id").distinct()
 
 
 @query(r"""SELECT conv_id, turn, regexp_matches(regexp_replace(text, '\s+', '', 'g'), '(?s)t.*h.*e.*o.*n') AS holds FROM conversations""")
@@ -200,10 +194,59 @@ def bootstrap_ci(spark, t):
     return stats.bootstrap(_pairs(t).select("test", "item_id", "diff"), "test")
 
 
-@query(f"""WITH {ARMS} SELECT 'n_list' AS "column", round(avg(a.n_list), 4) AS base_mean, round(avg(b.n_list), 4) AS other_mean, abs(avg(a.n_list) - avg(b.n_list)) > 1e-9 AS warns FROM a JOIN b USING (query_id)
-UNION ALL SELECT 'ndcg_at_k', round(avg(a.ndcg_at_k), 4), round(avg(b.ndcg_at_k), 4), abs(avg(a.ndcg_at_k) - avg(b.ndcg_at_k)) > 1e-9 FROM a JOIN b USING (query_id)""")
+CUT = PER_QUERY.replace("rank <= 10", "rank <= 6")
+
+
+@query(f"""WITH a AS (WITH {DENSE}, {PER_QUERY} SELECT query_id, n_list AS list_len, least(n_list, 8) AS ctx_len, ceiling FROM pq), b AS (WITH {DENSE}, {CUT} SELECT query_id, n_list AS list_len, least(n_list, 8) AS ctx_len, ceiling FROM pq),
+m AS (SELECT avg(a.list_len) AS la, avg(b.list_len) AS lb, avg(a.ctx_len) AS ca, avg(b.ctx_len) AS cb, avg(a.ceiling) AS ea, avg(b.ceiling) AS eb FROM a JOIN b USING (query_id)), t AS (SELECT * FROM (VALUES ('retrieval', 'measures length in part'), ('ragas', 'favours the longer arm')) AS v(track, ctx))
+SELECT track, 'list_len' AS "column", round(la, 4) AS base_mean, round(lb, 4) AS other_mean, abs(la - lb) > 1e-9 AS warns, 'measures length in part' AS meaning FROM m, t
+UNION ALL SELECT track, 'ctx_len', round(ca, 4), round(cb, 4), abs(ca - cb) > 1e-9, ctx FROM m, t UNION ALL SELECT track, 'ceiling', round(ea, 4), round(eb, 4), abs(ea - eb) > 1e-9, 'read the ratio to the ceiling' FROM m, t
+UNION ALL SELECT 'answer', 'k', 5.0, 5.0, false, 'other denominator'""")
 def length_warnings(spark, t):
-    return stats.length_warnings(_per_query(t), _per_query(t, True), ["n_list", "ndcg_at_k"], "query_id")
+    """Lists of ten against lists of six, by each track's rule."""
+    def arm(n):
+        own = M.rank_metrics(dense_results(t, n).withColumnRenamed("vec_id", "doc_id"), _gold(t))
+        return own.select("query_id", F.col("n_list").alias("list_len"), F.least("n_list", F.lit(8)).alias("ctx_len"), "ceiling", F.lit(5).alias("k"))
+
+    base, other, out = arm(10), arm(6), None
+    for track in ("retrieval", "ragas", "answer"):
+        own = stats.length_warnings(base, other, track, "query_id").withColumn("track", F.lit(track))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""WITH {ARMS}, s AS (SELECT *, round({SIGN}, 6) AS p FROM d), o AS (SELECT *, count(*) OVER () AS family_size, row_number() OVER (ORDER BY p, test) - 1 AS i FROM s),
+h AS (SELECT *, round(max(least(1.0, (family_size - i) * p)) OVER (ORDER BY i), 6) AS p_holm FROM o)
+SELECT test, n, mean_diff, p, family_size, p_holm, false AS unscored FROM h UNION ALL SELECT 'keypoint_hit', NULL, NULL, NULL, NULL, NULL, true""")
+def comparison_sweep(spark, t):
+    """A metric without scores is in the report, and not in the family."""
+    return stats.sweep(spark, _pairs(t), (*TESTS, "keypoint_hit")).select("test", "n", "mean_diff", "p", "family_size", "p_holm", "unscored")
+
+
+@query(f"WITH {ARMS} SELECT item_id, round(diff, 4) AS diff FROM p WHERE test = 'ap_at_k' ORDER BY round(diff, 4), item_id LIMIT 5")
+def largest_drops(spark, t):
+    return stats.largest_drops(_pairs(t).where("test = 'ap_at_k'"))
+
+
+@query("""WITH i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark), r AS (SELECT length(text) AS answer_chars, row_number() OVER (ORDER BY item_id DESC) AS n FROM benchmark)
+SELECT item_id, answer_chars FROM i JOIN r USING (n)""")
+def zipped_items(spark, t):
+    """Items beside the rows of the same place."""
+    rows = t("benchmark").select((-F.col("item_id")).alias("o"), F.length("text").alias("answer_chars"))
+    return places.zipped(t("benchmark").select("item_id"), rows, ["item_id"], ["o"]).select("item_id", "answer_chars")
+
+
+@query("""SELECT role, count(*) AS n, count(*) FILTER (turn % 3 <> 0) AS usage_n, (sum(length(text)) FILTER (turn % 3 <> 0))::BIGINT AS prompt_tokens, (sum(turn) FILTER (turn % 3 <> 0))::BIGINT AS completion_tokens,
+  (sum(CASE WHEN conv_id % 2 = 0 THEN 7 ELSE 0 END) FILTER (turn % 3 <> 0))::BIGINT AS reasoning_tokens FROM conversations GROUP BY 1""")
+def usage_totals(spark, t):
+    used = F.struct(F.length("text").alias("prompt_tokens"), F.col("turn").alias("completion_tokens"), F.expr("case when conv_id % 2 = 0 then 7 end").alias("reasoning_tokens"))
+    return M.usage_totals(t("conversations").withColumn("usage", F.when(F.col("turn") % 3 != 0, used)), ["role"])
+
+
+@query("""SELECT count(*) FILTER (turn % 4 = 1) AS usable, count(*) FILTER (turn % 4 <> 1) AS legacy FROM conversations""")
+def usable_contexts(spark, t):
+    contexts = F.expr("case turn % 4 when 0 then cast(null as array<string>) when 1 then array(concat('[1] ', text)) when 2 then array(text) else cast(array() as array<string>) end")
+    return t("conversations").select(T.usable_contexts(contexts).alias("u")).agg(F.count_if("u").alias("usable"), F.count_if(~F.col("u")).alias("legacy"))
 
 
 KAPPA = """WITH r AS (SELECT quality = 1 AS a, n_chars >= 1000 AS b FROM documents d LEFT JOIN labels l USING (doc_id)), t AS (SELECT count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS only_a,
@@ -262,14 +305,44 @@ def rgb_call_plan(spark, t):
     return robustness.call_plan(plan, plan.select("dataset").distinct().crossJoin(n), 30)  # n is one row
 
 
-@query("""WITH g AS (SELECT conv_id AS id, list(text ORDER BY turn) FILTER (role = 'assistant') AS p, list(text ORDER BY turn) FILTER (role = 'user') AS n FROM conversations GROUP BY 1),
-c AS (SELECT id, coalesce(len(p), 0) AS np, coalesce(len(n), 0) AS nn, r.noise_rate FROM g, (VALUES (0.4::DOUBLE), (1.0::DOUBLE)) AS r(noise_rate)),
+ROLES = """g AS (SELECT conv_id AS id, count(*) FILTER (role = 'assistant') AS np, count(*) FILTER (role = 'user') AS nn, count(*) FILTER (role = 'system') AS ns FROM conversations GROUP BY 1)"""
+
+
+def _records(t):
+    """Each conversation as a record: assistant turns (a...) and user turns (u...) in order."""
+    pick = lambda role: F.array_compact(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.concat(F.lit(role[0]), "text").alias("x"))))), lambda s: s["x"]))
+    return t("conversations").groupBy(F.col("conv_id").alias("id")).agg(pick("assistant").alias("a"), pick("user").alias("u"), pick("system").alias("s"))
+
+
+def _kinds(out, **kinds):
+    def of(c):
+        return F.size(F.filter("docs", lambda d: d.startswith(c))).cast("long")
+
+    return out.select("id", "dataset", "noise_rate", *(of(c).alias(name) for name, c in kinds.items()))
+
+
+@query(f"""WITH {ROLES}, c AS (SELECT *, CASE WHEN noise_rate = 1 THEN 'zh_refine' ELSE 'zh' END AS dataset FROM g, (VALUES (0.4::DOUBLE), (1.0::DOUBLE)) AS r(noise_rate)),
 k AS (SELECT *, CASE WHEN noise_rate = 1 THEN 0 WHEN 2 > nn THEN 5 - nn WHEN 3 > np THEN np ELSE 3 END AS tp, CASE WHEN noise_rate = 1 THEN 5 WHEN 2 > nn THEN nn WHEN 3 > np THEN 5 - np ELSE 2 END AS tn FROM c)
-SELECT id, noise_rate, least(tp, np)::BIGINT AS positives, least(tn, nn)::BIGINT AS negatives FROM k""")
+SELECT id, dataset, noise_rate, least(tp, np)::BIGINT AS positives, least(tn, nn)::BIGINT AS negatives FROM k""")
 def rgb_assembly(spark, t):
-    """How many documents of either kind each record gets; which ones and their order come from a seeded generator."""
-    pick = lambda role: F.array_compact(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.concat(F.lit(role[0]), "text").alias("x"))))), lambda s: s["x"]))
-    records = t("conversations").groupBy(F.col("conv_id").alias("id")).agg(pick("assistant").alias("positive"), pick("user").alias("negative")).withColumn("noise_rate", F.explode(F.array(F.lit(0.4), F.lit(1.0))))
-    out = robustness.assemble(records)
-    of = lambda c: F.size(F.filter("docs", lambda d: d.startswith(c))).cast("long")
-    return out.select("id", "noise_rate", of("a").alias("positives"), of("u").alias("negatives"))
+    """How many documents of either kind each record of a plain set gets; their order comes from a seeded generator."""
+    rows = _records(t).select("id", F.col("a").alias("positive"), F.col("u").alias("negative"), F.explode(F.array(F.lit(0.4), F.lit(1.0))).alias("noise_rate"))
+    return _kinds(robustness.assemble(rows.withColumn("dataset", F.expr("case when noise_rate = 1 then 'zh_refine' else 'zh' end"))), positives="a", negatives="u")
+
+
+@query(f"""WITH {ROLES}, k AS (SELECT *, (np > 0)::INTEGER + (ns > 0)::INTEGER AS heads FROM g, (VALUES (0.0::DOUBLE), (0.4::DOUBLE)) AS r(noise_rate)),
+m AS (SELECT *, heads + least(greatest(5 - ceil(5 * noise_rate)::INTEGER - heads, 0), np + ns - heads) AS n FROM k) SELECT id, 'zh_int' AS dataset, noise_rate, n::BIGINT AS positives, least(nn, greatest(5 - n, 0))::BIGINT AS negatives FROM m""")
+def rgb_assembly_integration(spark, t):
+    """Groups of assistant and of system turns: a document of each, deeper ones up to the share, user turns as noise."""
+    rows = _records(t).select("id", F.transform(F.array("a", "s"), lambda g: F.transform(g, lambda x: F.concat(F.lit("p"), x))).alias("groups"), F.col("u").alias("negative"), F.explode(F.array(F.lit(0.0), F.lit(0.4))).alias("noise_rate"))
+    return _kinds(robustness.assemble(rows.withColumn("dataset", F.lit("zh_int"))), positives="p", negatives="u")
+
+
+@query(f"""WITH {ROLES}, k AS (SELECT *, least(np, 5 - ceil(5 * correct_rate)::INTEGER) AS altered, ceil(5 * correct_rate)::INTEGER AS r FROM g, (VALUES (0.0::DOUBLE), (0.4::DOUBLE)) AS c(correct_rate))
+SELECT id, 'zh_fact' AS dataset, correct_rate AS noise_rate, altered::BIGINT AS altered, least(np - altered, r)::BIGINT AS true_ones FROM k""")
+def rgb_assembly_counterfactual(spark, t):
+    """Altered documents without noise, and with two of five right ones (the rate is shown as noise_rate)."""
+    rows = _records(t).select("id", F.col("a").alias("positive"), F.transform("a", lambda x: F.concat(F.lit("w"), x)).alias("wrong"), F.col("u").alias("negative"), F.explode(F.array(F.lit(0.0), F.lit(0.4))).alias("correct_rate"))
+    out = robustness.assemble(rows.where("correct_rate = 0").withColumn("dataset", F.lit("zh_fact")).withColumn("noise_rate", F.lit(0.0)))
+    some = robustness.assemble(rows.where("correct_rate > 0").withColumn("dataset", F.lit("zh_fact")).withColumn("noise_rate", F.lit(0.0))).withColumn("noise_rate", F.lit(0.4))
+    return _kinds(out.union(some), altered="w", true_ones="a")

@@ -22,6 +22,14 @@ def latency_slo(spark, t):
     return M.latency_summary(t("events"), "event_type", "value", F.expr("user_id % 97 = 0 and event_type <> 'click'"), F.expr("case when event_type = 'click' then 50 else 80 end"))
 
 
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'click' THEN 'cross_doc' WHEN 'view' THEN 'time_filter' ELSE event_type END AS kind, user_id % 97 = 0 AS cached FROM events), b AS (SELECT *, CASE WHEN kind IN ('cross_doc', 'time_filter') THEN 'aggregate' ELSE 'short' END AS bucket FROM e)
+SELECT bucket, CASE bucket WHEN 'aggregate' THEN 5000 ELSE 8000 END AS target_ms, count(CASE WHEN NOT cached THEN value END) AS n_uncached, round(quantile_disc(CASE WHEN NOT cached THEN value END, 0.95), 1) AS p95,
+  CASE WHEN NOT (SELECT bool_or(cached) FROM b) THEN round(quantile_disc(CASE WHEN NOT cached THEN value END, 0.95), 1) <= CASE bucket WHEN 'aggregate' THEN 5000 ELSE 8000 END END AS meets FROM b GROUP BY bucket""")
+def latency_targets(spark, t):
+    rows = t("events").withColumn("kind", F.expr("case event_type when 'click' then 'cross_doc' when 'view' then 'time_filter' else event_type end"))
+    return M.latency_targets(rows, "kind", "value", F.expr("user_id % 97 = 0"))
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_type, count(*) AS n, round(quantile_disc(value, 0.95), 1) AS p95 FROM r WHERE n <= 500 GROUP BY 1""")
 def last_500_p95(spark, t):
     return M.last_samples(t("events"), "event_type", ["ts", "event_id"]).groupBy("event_type").agg(F.count("*").alias("n"), M.nearest_rank("value", 95).alias("p95"))

@@ -40,18 +40,57 @@ def adjacent_window_pairs(spark, t):
     return mining.window_pairs(pairs, F.array(F.lit("ing")), "[A-Z][a-z]+", "the").select("doc_id", "a_no", "value", "cue")
 
 
-@query("""SELECT c_custkey AS doc_id, 'motion ' || c_name || ' is adopted' AS decision FROM customer WHERE c_custkey % 3 = 0 ORDER BY c_custkey LIMIT 6""")
+@query("""SELECT c_custkey AS doc_id, '动议' || c_name || ' 经讨论一致通过，自下月起生效。' AS decision, '动议' || c_name || '|' || '经讨论一致通过' || '|' || '自下月起生效' AS must_contain
+FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 0 ORDER BY c_custkey LIMIT 6""")
 def decision_items(spark, t):
-    made = F.concat(F.lit("intro\nDECIDED\n\nmotion "), "c_name", F.expr("case when c_custkey % 3 = 0 then ' is adopted' else ' is postponed' end"), F.lit("\nVOTES\n3 : 1"))
-    rules = mining.Decisions("DECIDED", ("VOTES",), "adopted", "postponed", 10)
-    return mining.decisions(t("customer").select(F.col("c_custkey").alias("doc_id"), made.alias("text")), rules).select("doc_id", "decision")
+    """The default marks and wording, on made minutes: placeholders, rows of tables, open points and evaluations give nothing."""
+    made = F.concat(F.lit("概要\n决议区\n讨论结果\n|甲乙丙丁戊己庚辛壬癸|\n动议"), "c_name", F.expr("case when c_custkey % 3 = 0 then ' 经讨论一致通过，自下月起生效。' else ' 经讨论一致通过，细节待定，下次会议再议。' end"), F.lit("\n投票区\n3 : 1"))
+    title = F.concat(F.expr("case when c_custkey % 4 = 0 then '方案评估-' else '周会-' end"), "c_name")
+    docs = t("customer").select(F.col("c_custkey").alias("doc_id"), title.alias("title"), made.alias("text"))
+    return mining.decisions(mining.titled(docs)).select("doc_id", "decision", F.array_join("must_contain", "|").alias("must_contain"))
 
 
-@query("""WITH l AS (SELECT s_suppkey AS doc_id, s_name AS core FROM supplier) SELECT doc_id, 'Vendor' AS label, 'code' AS family, replace(core, '#', '') AS core FROM l""")
+TERMS = """l AS (SELECT s_suppkey AS doc_id, replace(s_name, '#', '') AS s FROM supplier), i AS (SELECT doc_id, s, '合同编号' AS label, 'S-' || s AS core FROM l UNION ALL SELECT doc_id, s, '客服电话', '138' || lpad(doc_id::VARCHAR, 8, '0') FROM l)"""
+
+
+def _sheets(t):
+    """Made data sheets: fields whose value is a term, shared by all, prose, a list of people, a date."""
+    name = F.translate("s_name", "#", "")
+    lines = [
+        F.concat(name, F.lit("报价单")), F.lit("1. 域名费用：85元/年"), F.concat(F.lit("2、合同编号：S-"), name, F.lit("（正本）")), F.concat(F.lit("客服电话 138"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")),
+        F.concat(F.lit("采购流程：需要"), name, F.lit("清单")), F.concat(F.lit("经办：@王一、@李二"), name), F.concat(F.lit("登记：2025-12-"), F.col("s_suppkey").cast("string")), F.concat(F.lit("备注、其他："), name, F.lit("A-1")),
+    ]
+    return t("supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("档案_SSC_"), name, F.lit("报价单")).alias("title"), F.concat_ws("\n", *lines).alias("text"))
+
+
+@query(f"WITH {TERMS} SELECT doc_id, '档案_SSC' AS cat, s || '报价单' AS name, label, '编号' AS family, core FROM i")
 def term_items(spark, t):
-    made = F.concat(F.lit("about\nVendor: "), F.translate("s_name", "#", ""), F.lit("\nNote: a sentence that is no term\n"))
-    out = mining.terms(t("supplier").select(F.col("s_suppkey").alias("doc_id"), made.alias("text")))
-    return out.where("label = 'Vendor'").select("doc_id", "label", "family", "core")
+    """The default patterns and families."""
+    return mining.terms(_sheets(t)).select("doc_id", "cat", "name", "label", "family", "core")
+
+
+@query(f"""WITH {TERMS}, h AS (SELECT *, ('0x' || substr(sha256(core), 1, 8))::BIGINT % 3 AS h FROM i)
+SELECT doc_id, core, CASE h WHEN 0 THEN '在《' || s || '报价单》中，' || label || '是什么？' WHEN 1 THEN '根据《' || s || '报价单》，' || label || '填的是哪一项？' ELSE '《' || s || '报价单》里记录的' || label || '是什么？' END AS question, label || '：' || core AS expected_answer FROM h""")
+def term_questions(spark, t):
+    return mining.term_questions(mining.terms(_sheets(t))).select("doc_id", "core", "question", "expected_answer")
+
+
+@query(f"""WITH {TERMS} SELECT doc_id, core, v AS violation FROM i, (VALUES ('value not in document'), ('value not unique')) AS t(v) WHERE label = '合同编号' AND doc_id % 3 = 0
+UNION ALL SELECT doc_id, core, 'document gone' FROM i WHERE doc_id % 3 = 1""")
+def term_violations(spark, t):
+    """Items checked against later documents: some without the number, some gone."""
+    docs = _sheets(t)
+    later = docs.where("doc_id % 3 <> 1").withColumn("text", F.expr("case when doc_id % 3 = 0 then replace(text, '合同编号：S-', '合同编号：T-') else text end"))
+    return mining.term_violations(mining.term_questions(mining.terms(docs)), later)
+
+
+@query("""WITH i AS (SELECT doc_id, no, text FROM documents, range(0, 4) AS r(no)), k AS (SELECT doc_id, no FROM i WHERE no <> 1 AND length(text) >= 12), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS n FROM k) SELECT doc_id, no::INTEGER AS no FROM n WHERE n <= 2""")
+def grounded_items(spark, t):
+    """Proposals of which one in four names what its document has not."""
+    docs = t("documents").select("doc_id", "text")
+    long = docs.where(F.length("text") >= 12).select("doc_id", "text", F.explode(F.array(*map(F.lit, range(4)))).alias("no"))
+    items = long.select("doc_id", "no", F.lit("what is written there?").alias("question"), F.array(F.substring("text", 1, 6), F.when(F.col("no") == 1, F.lit("☃☃")).otherwise(F.substring("text", 7, 6))).alias("must_contain"))
+    return mining.grounded(items, docs).select("doc_id", "no")
 
 
 @query()
@@ -108,12 +147,23 @@ def even_picks(spark, t):
     return mining.even_picks(t("documents").select("source", "doc_id"), ["source"], "doc_id")
 
 
-@query()
+SEEDED = "SELECT doc_id, lang, source, sha256('42|' || doc_id) AS o FROM documents"
+
+
+@query(f"""WITH d AS ({SEEDED}), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY o, doc_id) AS n FROM d) SELECT doc_id, lang FROM r WHERE n <= CASE lang WHEN 'en' THEN 10 WHEN 'fr' THEN 8 WHEN 'de' THEN 6 ELSE 0 END""")
 def stratified_sample(spark, t):
-    """Quotas by hash order; xxhash64 has no SQL like there."""
     return mining.stratified_sample(t("documents").select("doc_id", "lang"), "lang", {"en": 10, "fr": 8, "de": 6}, "doc_id")
 
 
+@query(f"""WITH d AS ({SEEDED}), c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY o, doc_id) AS c FROM d), l AS (SELECT *, CASE source WHEN (SELECT min(source) FROM documents) THEN c > 4 WHEN (SELECT max(source) FROM documents) THEN c > 2 ELSE true END AS late FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY late, o, doc_id) AS n FROM l) SELECT doc_id, lang, source FROM r WHERE n <= CASE lang WHEN 'en' THEN 10 WHEN 'fr' THEN 8 ELSE 0 END""")
+def sample_with_floors(spark, t):
+    """Quotas by language, with floors for two sources."""
+    docs = t("documents").select("doc_id", "lang", "source")
+    low, high = docs.agg(F.min("source"), F.max("source")).first()
+    return mining.stratified_sample(docs, "lang", {"en": 10, "fr": 8}, "doc_id", floors={low: 4, high: 2}, of_class="source")
+
+
 @query("""WITH v AS (SELECT item_id AS id, text AS question, substr(text, 1, 30) AS r1, CASE WHEN item_id % 4 = 0 THEN substr(text, 1, 30) ELSE substr(text, 5, 30) END AS r2 FROM benchmark)
 SELECT id, 0::INTEGER AS variant, md5(r1) AS question FROM v WHERE r1 <> r2 UNION ALL SELECT id, 1, md5(r2) FROM v WHERE r1 <> r2""")
 def merged_variants(spark, t):

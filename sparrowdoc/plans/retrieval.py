@@ -64,12 +64,54 @@ x AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 SELECT query_id, rank, doc_id, score, bm25_rank, overlap_rank FROM x WHERE rank <= 12""")
 def hybrid_rrf(spark, t):
     docs, asked = t("documents"), _passages(t)
-    terms = asked.select("query_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    overlap = retrieve.postings(docs).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    terms, distinct, _ = retrieve.wanted_terms(asked)
+    overlap = retrieve.postings(docs, only=distinct).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
     legs = {"bm25": retrieve.bm25_topk(docs, asked, 50), "overlap": retrieve.ranked(overlap, 50)}
     return retrieve.fused(legs, 12).select("query_id", "rank", "doc_id", "score", "bm25_rank", "overlap_rank")
 
 
+BOTH = r"""d AS (SELECT doc_id, text, lang, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM documents JOIN embeddings ON doc_id = vec_id), q AS (SELECT doc_id AS query_id, substr(text, 1, 80) AS query, e FROM d WHERE doc_id % 50 = 0),
+k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM d), post AS (SELECT doc_id, term, count(*) AS tf FROM k GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS doc_len FROM k GROUP BY 1),
+st AS (SELECT (SELECT count(*) FROM d) AS n_docs, (SELECT count(*) FROM k)::DOUBLE / (SELECT count(*) FROM d) AS avg_len), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM q),
+ls AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / avg_len)))), 6) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st
+  WHERE query_id <> doc_id AND doc_id IN (SELECT doc_id FROM d WHERE lang IN ('en', 'fr')) GROUP BY ALL),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ls),
+ds AS (SELECT query_id, doc_id, round(list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))), 6) AS score FROM q JOIN d ON query_id <> doc_id WHERE lang IN ('en', 'fr')),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds),
+legs AS (SELECT query_id, doc_id, 'bm25' AS leg, rank FROM lr WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 'dense', rank FROM dr WHERE rank <= 50),
+f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, (max(rank) FILTER (leg = 'bm25'))::INTEGER AS bm25_rank, (max(rank) FILTER (leg = 'dense'))::INTEGER AS dense_rank FROM legs GROUP BY ALL),
+x AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM f)"""
+
+
+@query(f"WITH {BOTH} SELECT query_id, rank, doc_id, score, bm25_rank, dense_rank FROM x WHERE rank <= 12")
+def hybrid_dense_bm25(spark, t):
+    """BM25 and cosine similarity, the filter inside each leg."""
+    docs = t("documents").join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("doc_id", "text", "lang", "embedding")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("query"), "embedding")
+    return retrieve.hybrid(docs, asked, where=retrieve.payload_filter({"lang": ["en", "fr"]})).select("query_id", "rank", "doc_id", "score", "bm25_rank", "dense_rank")
+
+
+PLANS = "CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 7 = 0 THEN ' ' ELSE text || ' ' END"
+
+
+@query(f"""WITH r AS (SELECT *, {PLANS} AS w, conv_id % 2 = 0 AS agg, 1980 + conv_id % 60 AS y FROM conversations WHERE turn = 1), f AS (SELECT *, w IS NULL OR trim(w) = '' AS bad FROM r)
+SELECT conv_id AS query_id, CASE WHEN bad THEN text ELSE trim(w) END AS search, CASE WHEN NOT bad AND agg THEN 25 ELSE 8 END AS top_n, CASE WHEN NOT bad AND agg AND y BETWEEN 1990 AND 2100 THEN y || '-01-01T00:00:00' END AS since, bad AS degraded FROM f""")
+def rewrite_plans(spark, t):
+    """Recorded rewrites; a failed one changes nothing."""
+    rows = t("conversations").where("turn = 1").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"), F.expr(PLANS.replace("text || ' '", "concat(text, ' ')")).alias("rewritten"), F.expr("cast(1980 + conv_id % 60 as int)").alias("year"), F.expr("conv_id % 2 = 0").alias("aggregate"))
+    return retrieve.rewrite_plans(rows).select("query_id", "search", "top_n", F.col("date_range.gte").alias("since"), "degraded")
+
+
+@query("""WITH g AS (SELECT conv_id AS query_id, turn, CASE WHEN (conv_id + turn) % 4 = 0 THEN NULL WHEN (conv_id + turn) % 9 = 0 THEN '  ' ELSE 's' || turn END AS s, text FROM conversations), d AS (SELECT *, s IS NULL OR trim(s) = '' AS degraded FROM g)
+SELECT query_id, turn, md5(CASE WHEN degraded THEN text ELSE s END) AS content, degraded, avg(degraded::INTEGER) OVER (PARTITION BY query_id) > 0.3 AS falls_back FROM d""")
+def map_summaries(spark, t):
+    """A failed summary is its first block; too many of them, and the query falls back."""
+    s = F.expr("case when (conv_id + turn) % 4 = 0 then null when (conv_id + turn) % 9 = 0 then '  ' else concat('s', turn) end")
+    rows = t("conversations").select(F.col("conv_id").alias("query_id"), "turn", s.alias("summary"), F.array("text", F.lit("later")).alias("blocks"))
+    return retrieve.summarised(rows).select("query_id", "turn", F.md5("content").alias("content"), "degraded", "falls_back")
+
+
 NARROW = "WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr' AND n_chars < 300)"
 
 
@@ -81,9 +123,7 @@ SELECT query_id, rank, doc_id, score, n_before_fallback, false AS filter_fallbac
 UNION ALL SELECT query_id, rank, doc_id, score, n_before_fallback, true FROM u JOIN n USING (query_id) WHERE n_before_fallback < 3 AND rank <= 8""")
 def filtered_with_fallback(spark, t):
     docs, asked = t("documents"), _passages(t)
-    scores = retrieve.bm25_scores(retrieve.postings(docs), asked, docs).withColumn("score", F.round("score", 6))
-    allowed = docs.where(retrieve.payload_filter({"lang": "fr", "n_chars": {"lt": 300}})).select("doc_id")
-    narrow, wide = retrieve.ranked(scores.join(allowed, "doc_id", "left_semi"), 8), retrieve.ranked(scores, 8)
+    narrow, wide = retrieve.bm25_topk(docs, asked, 8, retrieve.payload_filter({"lang": "fr", "n_chars": {"lt": 300}})), retrieve.bm25_topk(docs, asked, 8)
     return retrieve.with_fallback(narrow, wide, asked, 8).select("query_id", "rank", "doc_id", "score", "n_before_fallback", "filter_fallback")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +107,64 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - F.when(F.decode("content", "UTF-8").endswith("\n"), 1).otherwise(0)
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), lines.alias("lines"), F.sha2("content", 256).alias("sha256"))
+
+
+# -- profile of files by their pages --------------------------------------------------------------------------------------------
+
+#: A page of fewer characters is near empty; a file of fewer characters a page is suspected to be scanned.
+EMPTY_PAGE, SCAN_PAGE = 20, 50
+
+
+def page_profile(pages: DataFrame, file: str = "file", text: str = "text", images: str = "images") -> DataFrame:
+    """pages (file, text, images), as a parser gives them -> one row a file: pages, chars_per_page, near_empty_pages, images, and
+    whether it is suspect, and then likely a scan (it has images) or near empty (it has none)."""
+    n = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    out = pages.groupBy(file).agg(F.count("*").alias("pages"), F.round(F.sum(n) / F.count("*"), 1).alias("chars_per_page"), F.count_if(n < EMPTY_PAGE).alias("near_empty_pages"), F.sum(F.coalesce(images, F.lit(0))).cast("long").alias("images"))
+    suspect = F.col("chars_per_page") < SCAN_PAGE
+    return out.withColumn("scan_suspect", suspect).withColumn("scan_likely", suspect & (F.col("images") > 0)).withColumn("near_empty", suspect & (F.col("images") == 0))
+
+
+def suffix_counts(files: DataFrame, path: str = "path") -> DataFrame:
+    """suffix (lower-cased, `none` without one), files; names that begin with a dot are passed over."""
+    name = F.element_at(F.split(path, "/"), -1)
+    suffix = F.coalesce(F.nullif(F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)), F.lit("")), F.lit("none"))
+    return files.where(~name.startswith(".")).groupBy(suffix.alias("suffix")).agg(F.count("*").alias("files"))
+
+
+def outcomes_with_names(rows: DataFrame, outcome: str, name: str) -> DataFrame:
+    """outcome, n, and the names, in order."""
+    return rows.groupBy(outcome).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
+
+
+# -- a keyed cache as a table ----------------------------------------------------------------------------------------------------
+
+
+def cache_put(cache: DataFrame, entries: DataFrame, key: str = "key", order: str = "at") -> DataFrame:
+    """The cache with entries; an entry replaces one of its key, the latest of several holds."""
+    last = entries.groupBy(key).agg(F.max_by(F.struct(*entries.columns), order).alias("e")).select("e.*")
+    return cache.join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def cache_get(cache: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
+    """asked keys with what the cache has, and whether it is a hit."""
+    return asked.join(cache.withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def cache_clear(cache: DataFrame, model: str | None = None) -> DataFrame:
+    """What stays: nothing, or all but a model's entries."""
+    return cache.where(F.lit(False)) if model is None else cache.where(~F.col("model").eqNullSafe(F.lit(model)))
+
+
+def load_registry(spark: SparkSession, path: str, schema: str = "name string, fingerprint string") -> DataFrame:
+    """A registry of fingerprints; a file that is missing or is no JSON of these fields is an empty one."""
+    empty = spark.createDataFrame([], schema)
+    try:
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
+        return empty if rows.where("bad").limit(1).count() else rows.select("r.*")
+    except AnalysisException:  # no such path
+        return empty
+
+
+def save_registry(rows: DataFrame, path: str) -> None:
+    rows.coalesce(1).write.mode("overwrite").json(path)

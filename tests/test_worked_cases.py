@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowdoc.functions import text as T
-from sparrowdoc.operators import chunk, evidence, layout, metrics, mining, provenance, retrieve, robustness, stats
+from sparrowdoc.operators import chunk, evidence, layout, metrics, mining, places, provenance, retrieve, robustness, stats
 from sparrowdoc.sources import tables
 from sparrowdoc.streaming import live
 
@@ -214,11 +214,6 @@ def test_robustness(spark):
     assert label("信 息不足 a", [["a"]], True) == [-1] and label("信 息不足 a", [["a"]]) == [1]
     rows = spark.createDataFrame([([-1], 1.0), ([1], 1.0), ([-1], 0.0), ([1, 0], 0.0)], "label array<int>, noise double")
     assert [r.c for r in rows.select(robustness.correct(F.col("label"), F.col("noise")).alias("c")).collect()] == [True, True, False, False]
-    docs = robustness.assembled("zh", [f"p{i}" for i in range(9)], [f"n{i}" for i in range(9)], [], 0.4)
-    assert sorted(docs) == ["n0", "n1", "p0", "p1", "p2"] and docs == robustness.assembled("zh", [f"p{i}" for i in range(9)], [f"n{i}" for i in range(9)], [], 0.4)
-    assert sorted(robustness.assembled("zh", ["p"], ["n"] * 9, [], 1.0)) == ["n"] * 5
-    assert len(robustness.assembled("zh_int", [["a", "b"], ["c", "d"]], ["n"], [], 0.2)) == 5
-    assert sum(d.startswith("w") for d in robustness.assembled("zh_fact", ["a", "b", "c"], ["n"], ["wa", "wb", "wc"], 0.0, correct=0.4)) == 3
     same = spark.createDataFrame([("zh", "0", [1], 0.0, "it is 170")], "dataset string, id string, label array<int>, noise_rate double, prediction string")
     records = spark.createDataFrame([("zh", "0", "170"), ("zh_fact", "0", "it")], "dataset string, id string, fake_answer string")
     assert robustness.also_false(same, records).count() == 1
@@ -381,3 +376,125 @@ def test_sign_test_of_many_items(spark):
             tail += term
         p = spark.createDataFrame([(wins, losses)], "w long, l long").select(stats.sign_p(F.col("w"), F.col("l")).alias("p")).first().p
         assert p == pytest.approx(min(1.0, 2 * tail / 2**n), rel=1e-9, abs=1e-300)
+
+
+def test_assembled_documents(spark):
+    """Against lists drawn here by the same generator, record by record."""
+    pos, neg, wrong = [f"p{i}" for i in range(9)], [f"n{i}" for i in range(9)], [f"w{i}" for i in range(9)]
+    rows = [("a", "zh", 0.4, pos, neg, wrong, None, 0.0), ("b", "zh", 1.0, pos, neg, wrong, None, 0.0), ("c", "zh_refine", 0.2, pos[:1], neg, wrong, None, 0.0), ("d", "zh", 0.8, pos, neg[:2], None, None, 0.0), ("e", "zh_fact", 0.0, pos[:3], neg, wrong[:3], None, 0.0), ("f", "zh_fact", 0.2, pos, neg, wrong, None, 0.4), ("g", "zh_int", 0.2, None, neg, None, [pos[:3], [], pos[3:5]], 0.0), ("h", "zh_int", 0.0, None, [], None, [], 0.0)]
+    df = spark.createDataFrame(rows, "id string, dataset string, noise_rate double, positive array<string>, negative array<string>, wrong array<string>, groups array<array<string>>, correct_rate double")
+    got = {r.id: r.docs for r in robustness.assemble(df.repartition(3)).collect()}
+
+    def mixed(docs, rng=None):
+        rng, docs = rng or random.Random(2333), [*docs]
+        rng.shuffle(docs)
+        return docs
+
+    assert got["a"] == mixed(pos[:3] + neg[:2]) and got["b"] == mixed(neg[:5]) and got["c"] == mixed(pos[:1] + neg[:4]) and got["d"] == mixed(pos[:3] + neg[:2])
+    rng = random.Random(2333)
+    assert got["e"] == mixed([wrong[i] for i in rng.sample(range(3), 3)], rng)
+    rng = random.Random(2333)
+    bad = rng.sample(range(9), 2)
+    good = rng.sample([i for i in range(9) if i not in bad], 2)
+    assert got["f"] == mixed([wrong[i] for i in bad] + [pos[i] for i in good] + neg[:1], rng)
+    rng = random.Random(2333)
+    one, two = mixed(pos[:3], rng), mixed(pos[3:5], rng)
+    assert got["g"] == mixed([one[0], two[0], one[1], two[1], neg[0]], rng) and got["h"] == []
+
+
+def test_structural_chunks_by_marks():
+    """Marks and paths against a walk over the blocks that keeps nothing but the open chunk."""
+    rng = random.Random(5)
+    for _ in range(300):
+        blocks = [{"type": rng.choice(["heading", "table", "paragraph", "paragraph", "list_item"]), "text": rng.choice(["x", " ", "y" * 290, "z" * 320, "w" * 601, "a。" * 30]), "heading_level": rng.choice([None, 1, 2, 3]), "page": rng.choice([None, 1, 2])} for _ in range(rng.randrange(12))]
+        got, real = chunk.structural(blocks), [b for b in blocks if b["text"].strip()]
+        # all text is there, in order, but for what windows repeat
+        flat = "".join(c["text"].replace("\n", "") for c in got if c["block_type"] != "heading")
+        for b in real:
+            assert b["type"] == "heading" or b["text"][: chunk.MOST] in flat
+        tables = [c for c in got if c["block_type"] == "table"]
+        assert [c["text"] for c in tables] == [b["text"] for b in real if b["type"] == "table"]
+        trailing = 0
+        while trailing < len(real) and real[-1 - trailing]["type"] == "heading":
+            trailing += 1
+        assert (got[-1]["block_type"] == "heading") == bool(trailing) if got else not real
+        assert all(len(c["text"]) <= chunk.MOST for c in got if c["block_type"] not in ("heading", "table"))
+    h = lambda t, n: {"type": "heading", "text": t, "heading_level": n}
+    p = lambda n: {"type": "paragraph", "text": "x" * n, "page": None}
+    # a heading splits text of 300 and not of 299; the path is that above the last block; levels may be skipped
+    assert [(c["section_path"], len(c["text"])) for c in chunk.structural([h("A", 1), p(299), h("B", 3), p(5)])] == [(["A", "B"], 305)]
+    assert [(c["section_path"], len(c["text"])) for c in chunk.structural([h("A", 1), p(300), h("B", 3), p(5), h("C", 1), h("D", 1)])] == [(["A"], 300), (["A", "B"], 5), (["A", "B"], 3)]
+    assert [c["text"] for c in chunk.structural([p(600), p(7)])] == ["x" * 600, "x" * 7]
+
+
+def test_term_values(spark):
+    values = ["85元/年", "67.5 元 / 月", "预算表(终稿).xlsx", "@黄梓姗", "91350206MA31EQ756Y", "2025-12-29", "13800001111", "《创始人探索条例》", "2核CPU，1G内存", "2025年第3周", "飞书导出平台", "需要负责人清单", "应用前景广阔"]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", mining.term_of(F.col("v")).alias("f"))
+    assert [r.f for r in got.orderBy("i").collect()] == ["金额", "金额", "文件名", "人名", "编号", None, "编号", "名称", None, "周次", "制度名", None, None]
+
+
+def test_greedy_terms_lose_nothing(spark):
+    """The cut before the fold changes no choice: against a plain fold over all candidates."""
+    rng = random.Random(3)
+    rows = [(f"d{rng.randrange(60)}", f"l{int(rng.paretovariate(0.6)) % 40}", f"c{i}", f"f{rng.randrange(4)}") for i in range(4000)]
+    rows = [(*r, f"k{int(r[0][1:]) % 9}") for r in rows]
+    sha = lambda r: __import__("hashlib").sha256("|".join(r[:3]).encode()).hexdigest()
+    for limit in (3, 12, 30):
+        cap, docs, labels, cats, want = max(3, limit // 4), set(), {}, {}, []
+        pools = {f: sorted((r for r in rows if r[3] == f), key=sha) for f in sorted({r[3] for r in rows})}
+        while len(want) < limit and any(pools.values()):
+            for pool in pools.values():
+                while pool and (pool[0][0] in docs or labels.get(pool[0][1], 0) >= 2 or cats.get(pool[0][4], 0) >= cap):
+                    del pool[0]
+                if pool and len(want) < limit:
+                    r = pool.pop(0)
+                    want.append(r[2])
+                    docs.add(r[0])
+                    labels[r[1]] = labels.get(r[1], 0) + 1
+                    cats[r[4]] = cats.get(r[4], 0) + 1
+        df = spark.createDataFrame(rows, "doc_id string, label string, core string, family string, cat string")
+        assert [r.core for r in mining.taken_in_turn(df, limit).orderBy("turn").collect()] == want
+
+
+def test_decisions_in_order(spark):
+    line = lambda x: f"关于{x}的动议，一致通过，自下月起生效"
+    text = lambda *xs: "".join(f"决议区\n{line(x)}\n投票区\n" for x in xs)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([text("甲"), text("甲", "乙"), text("乙", "甲"), text("丙"), "决议区\n太短，通过"])], "doc_id int, text string")
+    got = sorted((r.doc_id, r.decision) for r in mining.decisions(docs).collect())
+    assert got == [(0, line("甲")), (1, line("乙")), (3, line("丙"))]
+    assert len(mining.decisions(docs, top=2).collect()) == 2
+
+
+def test_places(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(20_000)]), i) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "v int, i int").repartition(5)
+    got = places.placed(df, ["v", "i"], "place", "total").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.v, r.i) for r in sorted(got, key=lambda r: r.place)] == want and {r.total for r in got} == {30_000}
+    assert places.placed(df.where("false"), ["v"], "place").count() == 0
+    with pytest.raises(ValueError, match="rows"):
+        places.zipped(spark.range(3), spark.range(4).withColumnRenamed("id", "k"), ["id"], ["k"])
+
+
+def test_registry(spark, tmp_path):
+    path = str(tmp_path / "reg")
+    assert tables.load_registry(spark, path).count() == 0
+    tables.save_registry(spark.createDataFrame([("a", "1")], "name string, fingerprint string"), path)
+    assert [tuple(r) for r in tables.load_registry(spark, path).collect()] == [("a", "1")]
+    (tmp_path / "bad.json").write_text("{no json")
+    assert tables.load_registry(spark, str(tmp_path / "bad.json")).count() == 0
+
+
+def test_dense_against_all(spark, sf):
+    import numpy as np
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in e.collect()}
+    got = {(r.query_id, r["rank"]): r.vec_id for r in retrieve.dense_topk(e, e.where("vec_id % 50 = 0"), 4, piece=1).collect()}
+    cos = lambda a, b: round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6)
+    for q in (i for i in rows if i % 50 == 0):
+        want = sorted((-cos(rows[q], v), i) for i, v in rows.items() if i != q)[:4]
+        assert [got[q, n + 1] for n in range(4)] == [i for _, i in want]
+    odd = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0]), (2, None), (3, [1.0, 1.0])], "vec_id int, embedding array<float>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in retrieve.dense_topk(odd, odd, 1).collect()) == [(0, 1, 0.0), (1, 3, 0.707107), (3, 1, 0.707107)]
