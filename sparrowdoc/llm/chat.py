@@ -57,6 +57,8 @@ def folded(rows):
     conversation, turn, opened = object(), None, []
     cut = turn_cut = None  # events of later turns from before this seq are withdrawn
     for conv, at, seq, kind, role, text in rows:
+        if kind not in ("message", "delta", "edit", "regenerate"):
+            continue
         text = text or ""
         if conv != conversation or at != turn:
             for r, parts in opened:
@@ -77,8 +79,6 @@ def folded(rows):
             opened[-1][1].clear()
         if kind == "regenerate" and seq is not None:
             turn_cut = seq if turn_cut is None else max(turn_cut, seq)
-        if kind not in ("message", "delta", "edit", "regenerate"):
-            raise ValueError(f"unknown event kind {kind!r}")
     for r, parts in opened:
         yield conversation, r, parts.text()
 
@@ -117,7 +117,8 @@ def format_events(events: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     A conversation's formatted text is its pieces in order of position. Null text and null role count as empty; null
     conversation ids make one conversation; null turns and seqs come first. Events that tie in turn and seq are
-    ordered by kind, role and text; repeated events count each time. Only the named columns are read. An empty log
+    ordered by kind, role and text; repeated events count each time; events of a kind other than message, delta, edit and
+    regenerate, or of none, are passed over. Ids are numbers or strings of them. Only the named columns are read. An empty log
     gives no rows. Rows of one conversation meet in one task, which streams them: it never holds more than a turn.
     """
     flat = events.select(

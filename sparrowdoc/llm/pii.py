@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the trees decide on besides: keys and passwords, which have no base pattern.
+ALL = (*KINDS, "secret")
 
 #: The base patterns, for Java. A match begins where the one before ended or where its first run begins, and runs are taken
 #: whole; so they find what their plain forms find, without rescanning a long run from each of its characters.
@@ -27,13 +29,19 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: Further candidates: spelt-out addresses, addresses of eight groups, long digit groups, numbers without a country code.
+#: Further candidates: spelt-out addresses, addresses of eight groups, long digit groups, numbers without a country code; and
+#: values given to names of secrets, and strings in the forms of well-known keys.
 WIDE = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}+){1,6}",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,6}(?![0-9A-Za-z])",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\"? ?[=:] ?[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,256}+[\"']?"
+    r"|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,80}|xox[abprs]-[A-Za-z0-9-]{10,80}|sk-[A-Za-z0-9_-]{20,120}|eyJ[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,800}\.[A-Za-z0-9_-]{10,200})(?![A-Za-z0-9])"
+    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
 }
+#: What a text must hold for a kind's wide pattern to be tried.
+NEEDS = {"email": r"@|[\[(]at[\])]", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]", "card": "[0-9]{2}", "phone": "[0-9]{2}", "secret": r"(?i)passw|pwd|secret|token|key|AKIA|ASIA|gh[pousr]_|xox|sk-|eyJ"}
 
 #: Words before a number that speak for a kind; fixed lists.
 SPEAKS = {
@@ -41,10 +49,11 @@ SPEAKS = {
     "ip": r"(?i)\b(ip|ipv6|host|server|address)\W*$",
     "card": r"(?i)(card|visa|mastercard|carte|karte|tarjeta|credit)( (no|nr|number)\.?)?\W*$",
     "phone": r"(?i)(tel|phone|call|mobile|fax|fon|rufnummer|móvil|teléfono|téléphone|tél)\W*$",
+    "secret": r"(?i)(export|set|env|config|login|credentials?|bearer)\W*$",
 }
 AGAINST = r"(?i)(order|version|isbn|page|pages|from|between|id|no\.|nr\.|build|serial|invoice|code|chapter|key|token|hash)\W*$"
 CONTEXT = 24
-FEATURES = ("kind", "digits", "groups", "speaks", "against", "luhn", "marks", "attached")
+FEATURES = ("kind", "digits", "groups", "speaks", "against", "luhn", "marks", "attached", "capitals", "letters")
 
 
 def digits(m: Column) -> Column:
@@ -79,10 +88,13 @@ def passes(kind: str, m: Column) -> Column:
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Matches that are gathered in one array before it is put to the others, so that a text with very many costs little more each.
+GATHERED = 64
+
+
 def located(text: Column, pattern: str, keep, made, kind: str) -> Column:
     """The matches of a pattern that keep() accepts, as made(start, end, match, text before)."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         piece, m = F.coalesce(x["p"], F.lit("")), x["m"]
@@ -91,7 +103,14 @@ def located(text: Column, pattern: str, keep, made, kind: str) -> Column:
         ok = m.isNotNull() & keep(m)
         return F.struct(b.alias("at"), F.when(ok, F.concat(acc["out"], F.array(made(a, b, m, piece)))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    def some(acc: Column, i: Column) -> Column:
+        found = F.aggregate(F.slice(zipped, i * GATHERED + 1, F.lit(GATHERED)), F.struct(acc["at"].alias("at"), none(kind).alias("out")), step)
+        return F.aggregate(F.array(found), acc, lambda acc, f: F.struct(f["at"].alias("at"), F.concat(acc["out"], F.array(f["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), none(f"array<{kind}>").alias("out"))
+    few = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none(kind).alias("out")), step, lambda acc: acc["out"])
+    many = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / GATHERED).cast("int")), start, some, lambda acc: acc["out"]))
+    return F.when(F.size(zipped) <= GATHERED, few).otherwise(many)
 
 
 def none(kind: str) -> Column:
@@ -120,32 +139,35 @@ def measured(kind: int, m: Column, before: Column) -> Column:
     groups = F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)))
     check = F.when((F.length(d) >= 12) & (F.length(d) <= 19), luhn(d)).otherwise(F.lit(False))
     marks = F.length(F.regexp_replace(m, r"[A-Za-z0-9 ]", ""))
-    values = (F.lit(kind), F.least(F.length(d), F.lit(20)), F.least(groups, F.lit(8)), flag(near.rlike(SPEAKS[KINDS[kind]])), flag(near.rlike(AGAINST)), flag(check), F.least(marks, F.lit(8)), flag(near.rlike(r"[A-Za-z0-9=_/#]$")))
+    capitals, letters = (F.length(F.regexp_replace(m, f"[^{c}]", "")) for c in ("A-Z", "A-Za-z"))
+    values = (F.lit(kind), F.least(F.length(d), F.lit(20)), F.least(groups, F.lit(8)), flag(near.rlike(SPEAKS[ALL[kind]])), flag(near.rlike(AGAINST)), flag(check), F.least(marks, F.lit(8)), flag(near.rlike(r"[A-Za-z0-9=_/#]$")), F.least(capitals, F.lit(12)), F.least(letters, F.lit(24)))
     return F.array(*(v.cast("int") for v in values))
 
 
 def candidates(text: Column) -> Column:
     """What the wide generators propose; proposals of different kinds may overlap."""
     parts = []
-    for i, kind in enumerate(KINDS):
-        needs = text.rlike(r"@|[\[(]at[\])]") if kind == "email" else text.contains(":") & text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]") if kind == "ip" else text.rlike("[0-9]{2}")
+    for i, kind in enumerate(ALL):
         made = lambda a, b, m, p, i=i: F.struct(a.alias("start"), b.alias("end"), measured(i, m, p).alias("f"))
-        parts.append(F.when(needs, located(text, WIDE[kind], lambda m: F.lit(True), made, CANDIDATE)).otherwise(none(CANDIDATE)))
+        parts.append(F.when(text.rlike(NEEDS[kind]), located(text, WIDE[kind], lambda m: F.lit(True), made, CANDIDATE)).otherwise(none(CANDIDATE)))
     return F.concat(*parts)
 
 
 # -- boosted trees -----------------------------------------------------------------------------------------------------------
 
-#: Contexts and shapes of written candidates, d a digit and h a hexadecimal one; label, kind, texts before, shapes.
+#: Contexts and shapes of written candidates: label, kind, texts before, shapes. In a shape 9 is a digit, ~ a hexadecimal one,
+#: ^ a capital or digit; all else stands for itself.
 WRITTEN = (
-    (1, "phone", ("call ", "Tel. ", "phone: ", "fax ", "tél ", "móvil "), ("ddd-ddd-dddd", "(ddd) ddd-dddd", "0ddd ddddddd", "0ddd/dddddd", "ddd dddd")),
-    (0, "phone", ("order ", "pages ", "version ", "from ", "the ", "a "), ("dddd-dddd", "ddd ddd ddd", "ddd.ddd.ddd", "dd.dddd", "dddd-ddd dddd", "ddd-ddd-dddd")),
-    (1, "card", ("card ", "visa ", "Karte ", "tarjeta: ", "credit card no. "), ("dddd dddd dddd dddd", "dddd-dddd-dddd-dddd", "dddddddddddddddd")),
-    (0, "card", ("order ", "serial ", "id ", "token ", "the ", "a ", "key="), ("dddddddddddddddd", "dddd dddd dddd d", "dddddddddddddd", "dddd-dddd-dddd-dddd")),
-    (1, "ip", ("host ", "IPv6 ", "address ", "from ", "the "), ("hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh",)),
-    (0, "ip", ("hash ", "key ", "token ", "serial "), ("hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh:hhhh",)),
-    (1, "email", ("email ", "contact ", "mailto ", "write to "), ("abc.dd (at) mail (dot) org", "ab[at]mail[dot]net", "abc @ mail.org")),
-    (0, "email", ("the ", "look ", "version "), ("x @ y. And", "a @ b.d", "d@d.d")),
+    (1, "phone", ("call ", "Tel. ", "phone: ", "fax ", "tél ", "móvil "), ("999-999-9999", "(999) 999-9999", "0999 9999999", "0999/999999", "999 9999")),
+    (0, "phone", ("order ", "pages ", "version ", "from ", "the ", "a "), ("9999-9999", "999 999 999", "999.999.999", "99.9999", "9999-999 9999", "999-999-9999")),
+    (1, "card", ("card ", "visa ", "Karte ", "tarjeta: ", "credit card no. "), ("9999 9999 9999 9999", "9999-9999-9999-9999", "9999999999999999")),
+    (0, "card", ("order ", "serial ", "id ", "token ", "the ", "a ", "key="), ("9999999999999999", "9999 9999 9999 9", "99999999999999", "9999-9999-9999-9999")),
+    (1, "ip", ("host ", "IPv6 ", "address ", "from ", "the "), ("~~~~:~~~~:~~~~:~~~~:~~~~:~~~~:~~~~:~~~~",)),
+    (0, "ip", ("hash ", "key ", "token ", "serial "), ("~~~~:~~~~:~~~~:~~~~:~~~~:~~~~:~~~~:~~~~",)),
+    (1, "email", ("email ", "contact ", "mailto ", "write to "), ("abc.de (at) mail (dot) org", "ab[at]mail[dot]net", "abc @ mail.org")),
+    (0, "email", ("the ", "look ", "version "), ("x @ y. And", "a @ b.9", "9@9.9")),
+    (1, "secret", ("export ", "the ", "with ", "", "a "), ("password=~~~~~~~~~~~~", "token = \"~~~~~~~~~~~~~~~~~~~~~~~~\"", "AKIA^^^^^^^^^^^^^^^^", "api_key: ~~~~~~~~~~~~~~~~", "secret=~~~~9~~~^^^^")),
+    (0, "secret", ("the ", "a ", "export ", "your "), ("password: required", "token=undefined", "secret: everybody", "api_key=changeme", "password=letters only", "access-key: disabled")),
 )
 TREES, DEPTH, RATE, WRITTEN_ROWS = 12, 3, 0.5, 4096
 PRECISION = 0.97
@@ -153,15 +175,16 @@ PRECISION = 0.97
 
 def written(spark: SparkSession, seed: int, rows: int = WRITTEN_ROWS) -> DataFrame:
     """Labelled candidates: label and features f."""
-    flat = [(label, KINDS.index(kind), before, shape) for label, kind, contexts, shapes in WRITTEN for before in contexts for shape in shapes]
+    flat = [(label, ALL.index(kind), before, shape) for label, kind, contexts, shapes in WRITTEN for before in contexts for shape in shapes]
     table = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(k).alias("kind"), F.lit(b).alias("before"), F.lit(s).alias("shape")) for a, k, b, s in flat))
     out = spark.range(rows).withColumn("w", F.element_at(table, (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(flat))) + 1).cast("int"))).select("id", "w.*")
     drawn = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(10**17)).cast("string")
     hexed = F.lower(F.hex(F.xxhash64("id", F.lit(seed + 2))))
+    base36 = F.concat(F.conv(F.hex(F.xxhash64("id", F.lit(seed + 3))), 16, 36), F.lit("QXK7J2M"))
     at = lambda s, i: F.substring(s, (i % 15) + 1, F.lit(1))
-    m = F.array_join(F.transform(F.split("shape", ""), lambda c, i: F.when(c == "d", at(drawn, i)).when(c == "h", at(hexed, i)).otherwise(c)), "")
+    m = F.array_join(F.transform(F.split("shape", ""), lambda c, i: F.when(c == "9", at(drawn, i)).when(c == "~", at(hexed, i)).when(c == "^", F.upper(at(base36, i))).otherwise(c)), "")
     out = out.withColumn("m", m)
-    f = reduce(lambda rest, k: F.when(F.col("kind") == k, measured(k, F.col("m"), F.col("before"))).otherwise(rest), range(len(KINDS)), F.lit(None).cast("array<int>"))
+    f = reduce(lambda rest, k: F.when(F.col("kind") == k, measured(k, F.col("m"), F.col("before"))).otherwise(rest), range(len(ALL)), F.lit(None).cast("array<int>"))
     return out.select("label", f.alias("f"))
 
 
@@ -233,7 +256,7 @@ def _fit(spark: SparkSession):
             ga, gb, total = ga + e * m, gb + e, total + n
         a, b = a - 0.5 * ga / total, b - 0.5 * gb / total
     limits = []
-    for kind in range(len(KINDS)):
+    for kind in range(len(ALL)):
         own = sorted(((1 / (1 + math.exp(-(a * sum(reached(t, f) for t in trees) + b))), y, n) for f, y, n in held if f[0] == kind), reverse=True)
         limit, good, seen = 1.1, 0, 0
         for p, y, n in own:
@@ -267,13 +290,14 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs and two last columns: `__base` and `__spans`, arrays of (start, kind, end) in order; offsets in code points.
 
     Null text counts as empty. Every base match is in both. A span that the trees add overlaps no base span, but may
-    overlap another added one. Texts without a digit or an @ are passed over by their characters alone.
+    overlap another added one; its kind may be `secret`, which has no base pattern. Texts without a digit or an @ are passed over by
+    their characters alone.
     """
     model = fitted(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)  # names may clash
     text = F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit(""))
-    some = text.rlike(r"[0-9@]|[\[(]at[\])]")
+    some = text.rlike(r"[0-9@]|[\[(]at[\])]|-----BEGIN")
     out = plain.withColumn("__base", F.when(some, base_spans(text)).otherwise(none(SPAN)))
     out = out.withColumn("__wide", F.when(some, candidates(text)).otherwise(none(CANDIDATE)))
     out = out.withColumn("__spans", F.when(F.size("__wide") == 0, F.col("__base")).otherwise(F.array_sort(F.array_distinct(F.concat("__base", selected(model, F.col("__wide"), F.col("__base")))))))
@@ -282,12 +306,13 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def shown(spans: Column) -> Column:
     """kind:start:end by start, then kind, joined by commas."""
-    name = F.array(*map(F.lit, KINDS))
+    name = F.array(*map(F.lit, ALL))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans for each row of docs; see with_spans().
+    """id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (of these kinds), secrets (spans of that kind) and
+    n_found (all spans) for each row of docs; see with_spans().
 
     Repeated rows each have a row, null ids stay null, an empty table gives no rows, and other columns are not read.
     """
@@ -297,20 +322,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.size(F.filter("__base", lambda s: s["kind"] == i)).cast("long")
 
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    return out.select(F.col("i").alias(id_col), *counts, F.sha2(shown(F.col("__base")), 256).alias("base_sha256"), shown(F.col("__spans")).alias("spans"))
+    own, secret = F.filter("__spans", lambda s: s["kind"] < len(KINDS)), F.filter("__spans", lambda s: s["kind"] == len(KINDS))
+    return out.select(F.col("i").alias(id_col), *counts, F.sha2(shown(F.col("__base")), 256).alias("base_sha256"), shown(own).alias("spans"), shown(secret).alias("secrets"), F.size("__spans").cast("long").alias("n_found"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span replaced by its kind in brackets; overlapping spans are one, of the first one's kind.
 
-    All columns stay, null texts too; a text without spans is unchanged.
+    All columns stay, null texts too; a text without spans is unchanged. An empty table gives no rows.
     """
     out = with_spans(docs, text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     out = out.toDF(*names, "b", "s")
     key = names[docs.columns.index(text_col)]
     text = F.col(key)
-    mark = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    mark = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -96,3 +96,33 @@ def test_words_of_middle_frequency_hang_on_history(spark):
     got = {r.doc_id: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where(F.col("doc_id").isin(held)).collect()}
     assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
     assert got[held[0]].score > got[held[1]].score + 10
+
+
+def test_scores_against_a_plain_model():
+    """The log of each token's probability, term by term, from the weights."""
+    import math
+
+    from sparrowdoc.llm.common import mix
+    from sparrowdoc.llm.lm import BITS, CLASSES, SIZE
+
+    rng = np.random.default_rng(6)
+    model = Model(rng.normal(size=Model().outer.shape).astype(np.float32), rng.normal(size=Model().inner.shape).astype(np.float32))
+    token, row, rank = rng.integers(1, 2**62, 12).astype(U64), np.repeat([0, 1], 6), np.array([0, 5, HEAD - 1, HEAD, -1, 40, 7, HEAD + 9, 31, 32, 33, 1])
+    history = histories(token, row)
+    one = lambda x: int(mix(np.array([x & (2**64 - 1)], U64))[0])
+    for i, got in enumerate(model.logs(history, rank)):
+        place = i % 6
+        last, before = (int(token[i - 1]) if place > 0 else 0), (int(token[i - 2]) if place > 1 else 0)
+        features = [one(last + 1), one(one(last + 2) * 0x9E3779B97F4A7C15 + before), one(before + 3), 0x9E3779B97F4A7C15]
+        assert features == [int(x) for x in history[i]]
+        head = 0 <= rank[i] < HEAD
+        group = int(rank[i]) // SIZE if head else CLASSES
+
+        def log_share(weights, rows, want):
+            sums = [sum(float(weights[r, j]) for r in rows) for j in range(weights.shape[1])]
+            return sums[want] - math.log(sum(map(math.exp, sums)))
+
+        want = log_share(model.outer, [f >> (64 - BITS) for f in features], group)
+        if head:
+            want += log_share(model.inner, [one(f + (group + 1) * 0x9FB21C651E98DF25) >> (64 - BITS) for f in features], int(rank[i]) % SIZE)
+        assert got == pytest.approx(want, rel=1e-4)
