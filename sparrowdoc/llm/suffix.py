@@ -14,7 +14,8 @@ batch of texts is added so:
 2. The bytes of the other contexts meet under their anchor: its suffixes are sorted to a suffix array in runs, whose sizes
    double as they merge; each merge scans neighbours for their common prefix. A suffix's longest one bounds the windows
    that can repeat, and within that bound equal windows are told by a hash of all their bytes.
-3. The batch becomes a level. Levels of equal height merge to one of the next, so that n batches leave log n levels.
+3. The batch becomes a level, unless it is the last. Levels of equal height merge to one of the next, so that n batches leave
+   log n levels.
 
 Spans found are of old texts as well as new ones. Classes of more than CLASS contexts are not gathered in a task: their windows
 are counted as rows, each by itself.
@@ -334,8 +335,11 @@ class Index:
         self.found: list[DataFrame] = []
         small_batches(spark)
 
-    def add(self, texts: DataFrame) -> DataFrame:
-        """Adds a batch; SPANS of what repeats in it, or between it and what was here, in old texts too. Written."""
+    def add(self, texts: DataFrame, last: bool = False) -> DataFrame:
+        """Adds a batch; SPANS of what repeats in it, or between it and what was here, in old texts too. Written.
+
+        last: no batch comes after it, so that it need not become a level.
+        """
         scratch, place = self.scratch, F.struct("h1", "h2", "pos", "lo", "hi", "to", "far", "end")
         self.texts.append(texts)
         anchors = scratch.keep(texts.mapInArrow(_anchors, ANCHORS))
@@ -377,7 +381,10 @@ class Index:
             size = F.when(F.col("long"), F.lit(LENGTH)).otherwise(F.lit(SHORT))
             spans.append(windows.where("open").join(often, ["g", "long"]).select("h1", "h2", "a", (F.col("a") + size).alias("b"), "long"))
         self.found.append(scratch.keep(reduce(DataFrame.union, spans)))
-        self._raised(new)
+        if last:
+            self.levels = []
+        else:
+            self._raised(new)
         scratch.close(*self.found, *(level for _, level in self.levels))
         bits.unpersist()
         return self.found[-1]
@@ -396,7 +403,7 @@ def repeated_spans(texts: DataFrame, most_in_class: int = CLASS, batches: int =
     array<struct<a,b,long>> of byte positions: strings of LENGTH bytes that repeat are long, those of SHORT bytes not."""
     index = Index(texts.sparkSession, most_in_class)
     for i in range(batches):
-        index.add(texts.where(F.pmod("h2", F.lit(batches)) == i))
+        index.add(texts.where(F.pmod("h2", F.lit(batches)) == i), last=i + 1 == batches)
     spans = reduce(DataFrame.union, index.found).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b", "long")).alias("spans"))
     out = index.scratch.keep(spans)
     index.scratch.close(out)
