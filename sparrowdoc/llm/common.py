@@ -111,7 +111,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def views(batch: pa.RecordBatch, column: int, most: int = 1 << 20, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of text that are worked on at once; the arrays made of them take many times that.
+RUN_BYTES = 1 << 18
+
+
+def views(batch: pa.RecordBatch, column: int, most: int = RUN_BYTES, rows: int = 4000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into runs of rows of about `most` bytes of text: (first row, row after the last, bytes, offsets).
 
     Null texts count as empty. A single text over the limit is a run of its own, whole.

@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowdoc.llm.common import Scratch, small_batches, tidy
-from sparrowdoc.llm.tokens import Bare, encoder
+from sparrowdoc.llm.tokens import MEMORY, Bare, encoder
 
 WINDOW, OPEN, END = 4096, 64, 2
 #: A gap of at least so many tokens is filled by cutting a document; a smaller one is padded.
 GAP = 48
 #: Partitions whose open windows are merged together: at most MERGED * OPEN windows meet in a task.
 MERGED = 16
+#: Texts that are cut into parts at once.
+ROWS = 100
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -98,13 +100,14 @@ def merge(pieces: list, first_id: int, size: int = WINDOW):
         yield from windows.emit(held)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, end: int | None = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, end: int | None = END, memory: int = MEMORY) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     docs' texts become the ids of the tokenizer file (of the tokenizers library) without special tokens, and `end` after
     each. A piece is `length` of its document's ids from `start`, at `offset` of the sequence. ids_crc32 is of the piece's
     ids as little-endian unsigned 32-bit numbers. Null and empty texts have the end alone; repeated rows are packed each
-    time; a null id stays null; other columns are not read; an empty table gives no rows.
+    time; a null id stays null; other columns are not read; an empty table gives no rows. `memory` bounds the parts of texts
+    whose ids a worker remembers; it changes no result.
 
     Pieces are written to a table before the open windows are merged, so that nothing is tokenised twice.
     """
@@ -121,11 +124,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     @tidy
     def run(batches):
         part = TaskContext.get().partitionId()
-        own, windows, id_type, out = encoder(sent.value, Bare), Windows(part << 32, size), None, []
+        own, windows, id_type, out = encoder(sent.value, Bare, memory), Windows(part << 32, size), None, []
         for batch in batches:
             id_type = batch.column(0).type
-            for at in range(0, len(batch), 500):
-                some = batch.slice(at, 500)
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
                 for doc, ids in zip(some.column(0).to_pylist(), own.batch(some.column(1).to_pylist()), strict=True):
                     out += [(*x, part, None) for x in windows.add(doc, ids + last)]
                 if out:

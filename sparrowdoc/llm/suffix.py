@@ -41,7 +41,7 @@ BATCHES = 2
 #: Contexts of a class that one task takes at most (about 0.6 KB each), of a block, and of a run of suffixes.
 CLASS, BLOCK, RUN = 20_000, 4096, 1024
 #: Windows whose hashes are held at a time.
-WINDOWS = 1_000_000
+WINDOWS = 250_000
 
 LOW = U64(0xFFFFFFFF)
 

@@ -185,10 +185,11 @@ class Encoder:
 _encoders: dict = {}
 
 
-def encoder(serialised: str, kind) -> Encoder:
+def encoder(serialised: str, kind, memory: int = MEMORY) -> Encoder:
     """A worker's one encoder, loaded once for all its tasks."""
     key = (hashlib.sha256(serialised.encode()).digest(), kind)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(serialised, kind)
+    _encoders[key].memory = memory
     return _encoders[key]
