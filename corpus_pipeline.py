@@ -16,6 +16,9 @@ from sparrowdoc.llm.packing import pack
 from sparrowdoc.llm.pii import redacted
 from sparrowdoc.llm.suffix import without_repeats
 
+#: Parts of texts that a worker remembers in the last stage, when the JVM beside it has the heap that the stages before took.
+REMEMBERED = 100_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on `labels` outside the hold-out fold, accepts."""
@@ -39,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("passages", passages), ("personal_data", personal_data), ("sequences", sequences)]
