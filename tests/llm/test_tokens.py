@@ -135,3 +135,13 @@ def test_packing_odd_rows(spark):
     rows = packing.pack(docs, WORDS).collect()
     assert {r.doc_id for r in rows} == {1, 2, None, 4, 5} and sum(r.length for r in rows) == 1 + 1 + 3 + 18001 + 2
     assert packing.pack(docs.where("false"), WORDS).count() == 0
+
+
+def test_a_small_memory_changes_no_ids():
+    from sparrowdoc.llm.tokens import Bare, Encoder
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        serialised = f.read()
+    texts = [f"Word{i} again, and again.\nÉtude {i % 7} <x> " + "long " * (i % 5) for i in range(60)] + ["", " "]
+    small, large = Encoder(serialised, Bare, 10), Encoder(serialised, Bare)
+    assert [x for at in range(0, len(texts), 4) for x in small.batch(texts[at : at + 4])] == large.batch(texts)
