@@ -139,13 +139,14 @@ def views(batch: pa.RecordBatch, column: int, most: int = RUN_BYTES, rows: int =
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each maximal run of bytes other than space and \\t..\\r; runs end with their row."""
+def words(data: np.ndarray, offsets: np.ndarray, ink: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of bytes other than space and \\t..\\r, or of those marked in `ink`; runs end with
+    their row."""
     n = len(data)
     if not n:
         none = np.empty(0, np.int64)
         return none, none, none
-    ink = ~SPACE[data]
+    ink = ~SPACE[data] if ink is None else ink
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     cut = offsets[:-1][offsets[:-1] < n]
@@ -158,6 +159,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+def cut_out(data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """The slices data[start:end], which do not overlap and are in order, as a binary array."""
+    size = end - start
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(kind or pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
+def numbered(slices: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Equal numbers for equal slices, exactly, and the slice of each number."""
+    coded = slices.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word."""
     start, end, row = words(data, offsets)
