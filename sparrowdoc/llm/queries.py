@@ -19,6 +19,7 @@ MODULES = {
     "op8_quality_classifier": "q08_classifier",
     "op9_suffix_array_dedup": "q09_suffix",
     "op10_byte_bpe": "q10_byte_bpe",
+    "op11_license_scans": "q11_licenses",
     "op12_periodic_runs": "q12_periodic",
 }
 
