@@ -21,6 +21,7 @@ MODULES = {
     "op10_byte_bpe": "q10_byte_bpe",
     "op11_license_scans": "q11_licenses",
     "op12_periodic_runs": "q12_periodic",
+    "op13_phrase_collocations": "q13_collocations",
 }
 
 
