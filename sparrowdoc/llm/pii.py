@@ -311,8 +311,8 @@ def shown(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (of these kinds), secrets (spans of that kind) and
-    n_found (all spans) for each row of docs; see with_spans().
+    """id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (all, of every kind), secrets (those of that kind alone) and
+    n_found (how many there are) for each row of docs; see with_spans().
 
     Repeated rows each have a row, null ids stay null, an empty table gives no rows, and other columns are not read.
     """
@@ -322,8 +322,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.size(F.filter("__base", lambda s: s["kind"] == i)).cast("long")
 
     counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    own, secret = F.filter("__spans", lambda s: s["kind"] < len(KINDS)), F.filter("__spans", lambda s: s["kind"] == len(KINDS))
-    return out.select(F.col("i").alias(id_col), *counts, F.sha2(shown(F.col("__base")), 256).alias("base_sha256"), shown(own).alias("spans"), shown(secret).alias("secrets"), F.size("__spans").cast("long").alias("n_found"))
+    secret = F.filter("__spans", lambda s: s["kind"] == len(KINDS))
+    return out.select(F.col("i").alias(id_col), *counts, F.sha2(shown(F.col("__base")), 256).alias("base_sha256"), shown(F.col("__spans")).alias("spans"), shown(secret).alias("secrets"), F.size("__spans").cast("long").alias("n_found"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -90,6 +90,13 @@ UNSEEN = (
 )
 
 
+def test_all_kinds_in_spans(spark):
+    """Secrets are among the spans, in order of their start."""
+    docs = spark.createDataFrame([(1, "password=abcdef012345 and a@b.org", "s", 1)], DOCS)
+    got = find_pii(docs).first()
+    assert (got.spans, got.secrets, got.n_found) == ("secret:0:21,email:26:33", "secret:0:21", 2)
+
+
 def test_on_unseen_shapes(spark):
     """Precision and recall by kind on what was not written for the trees; all of these texts have no base span."""
     assert not any(base(t) for _, _, t in UNSEEN)
