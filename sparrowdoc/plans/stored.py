@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparrowdoc.operators.cells import VectorIndex, recall
 from sparrowdoc.operators.inverted import InvertedIndex
+from sparrowdoc.operators.retrieve import dense_topk
 from sparrowdoc.plans.catalogue import query
-from sparrowdoc.plans.retrieval import _passages, bm25
+from sparrowdoc.plans.retrieval import DENSE, _passages, bm25
 from sparrowdoc.sources.shared import Workspace
 from sparrowdoc.sources.store import KeyedTable
 
@@ -55,3 +57,20 @@ def bm25_from_index_filtered(spark, t):
     allowed = t("documents").where("lang in ('en', 'fr') and n_chars >= 200 and n_chars < 5000")
     index = InvertedIndex(spark, Workspace(spark).path("index"), 16).create(t("documents"))
     return index.search(_passages(t), 10, allowed=allowed)[0].select("query_id", "rank", "doc_id", "score")
+
+
+@query(f"WITH {DENSE} SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10")
+def vector_index_exact(spark, t):
+    """The same rows as dense_topk, from the stored cells, all of them."""
+    rows = t("embeddings")
+    index = VectorIndex(spark, Workspace(spark).path("cells")).create(rows)
+    return index.search(rows.where("vec_id % 50 = 0"), 10, exact=True).select("query_id", "rank", "vec_id", "score")
+
+
+@query()
+def vector_index_recall(spark, t):
+    """The index' ten nearest, by codes and an exact second pass, against those of all rows."""
+    rows = t("embeddings")
+    asked = rows.where("vec_id % 50 = 0")
+    index = VectorIndex(spark, Workspace(spark).path("cells")).create(rows)
+    return recall(index.search(asked, 10), dense_topk(rows, asked, 10)).select("queries", "wanted", "found", "recall", (F.col("recall") >= 0.9).alias("enough"), F.lit(len(index.model.centres)).alias("cells"), F.lit(index.model.probes).alias("probes"), F.lit(index.model.refine).alias("refine"))
