@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sparrowdoc.functions import text as T
 from sparrowdoc.operators import chunk, metrics, provenance
 from sparrowdoc.plans.catalogue import query
-from sparrowdoc.sources import tables
+from sparrowdoc.sources import readers, tables
+from sparrowdoc.sources.shared import Workspace
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_id, doc_id <> min(doc_id) OVER (PARTITION BY text) AS is_duplicate FROM documents")
@@ -224,3 +225,38 @@ def cache_replay(spark, t):
     cache = tables.cache_put(cache, e.where("at % 2 = 1").union(cache))
     asked = t("events").select(F.concat(F.lit("k"), (F.col("user_id") + 3).cast("string")).alias("key")).distinct()
     return tables.cache_get(tables.cache_clear(cache, "click"), asked).select("key", "model", "value", "hit")
+
+
+#: A parsed document of each row: some cut off, without blocks, named as the profile, without an id, or with blocks without text.
+FILES = """case doc_id % 10 when 0 then substr(j, 1, length(j) - 3) when 1 then concat('{"meta":{"doc_id":"d', doc_id, '"},"blocks":[]}') when 3 then replace(j, '"doc_id"', '"other"') else j end"""
+LONG = "len(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 120"
+
+
+@query(f"""WITH d AS (SELECT doc_id % 10 AS k, {LONG} AS long FROM documents),
+v AS (SELECT 'index' AS reader, CASE WHEN k = 2 THEN 'skipped' WHEN k IN (0, 3) THEN 'failed' WHEN k = 1 THEN 'empty' ELSE 'read' END AS outcome FROM d
+  UNION ALL SELECT 'items', CASE WHEN k IN (0, 1, 2) OR NOT long THEN 'skipped' WHEN k = 3 THEN 'failed' ELSE 'read' END FROM d
+  UNION ALL SELECT 'census', CASE WHEN k = 0 THEN 'skipped' ELSE 'read' END FROM d)
+SELECT reader, count(*) AS files, count(*) FILTER (outcome = 'read') AS read, count(*) FILTER (outcome = 'empty') AS empty, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed FROM v GROUP BY 1""")
+def reader_counts(spark, t):
+    """What the three readers of parsed documents make of the same files."""
+    block = F.array(F.struct(F.lit("paragraph").alias("type"), F.col("text")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")))
+    j = F.to_json(F.struct(F.struct(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id")).alias("meta"), block.alias("blocks")))
+    rows = t("documents").select("doc_id", j.alias("j"))
+    files = rows.select(F.expr("if(doc_id % 10 = 2, 'profile.json', concat(doc_id, '.json'))").alias("file"), F.expr(FILES).cast("binary").alias("content"))
+    out = None
+    for reader in ("index", "items", "census"):
+        own = readers.counts(readers.parsed_documents(files, reader)).withColumn("reader", F.lit(reader))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query("""SELECT CASE WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 17 = 0 THEN 'skipped' WHEN doc_id % 19 = 0 THEN 'failed' ELSE 'read' END AS outcome,
+  CASE WHEN doc_id % 13 = 0 THEN 'no JSON object' WHEN doc_id % 17 = 0 THEN 'blank' WHEN doc_id % 19 = 0 THEN 'no id' END AS error, count(*) AS lines, sum(CASE WHEN doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0 THEN n_chars END)::BIGINT AS n_chars FROM documents GROUP BY ALL""")
+def json_line_outcomes(spark, t):
+    """Lines written from the documents, some cut off, blank or without an id, and what became of them."""
+    j = F.to_json(F.struct(F.expr("if(doc_id % 19 = 0, null, doc_id)").alias("id"), "text", "n_chars"))
+    line = F.when(F.col("doc_id") % 13 == 0, F.expr("substr(j, 1, length(j) - 1)")).when(F.col("doc_id") % 17 == 0, F.lit(" \t")).otherwise(F.col("j"))
+    path = Workspace(spark).path("lines")
+    t("documents").withColumn("j", j).select(line.alias("value")).write.text(path)
+    lines = readers.json_lines(spark, path, "id long, text string, n_chars long", needed=("id", "text"))
+    return lines.groupBy("outcome", "error").agg(F.count("*").alias("lines"), F.sum("record.n_chars").alias("n_chars"))
