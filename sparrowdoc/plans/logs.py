@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sparrowdoc.operators import metrics as M
 from sparrowdoc.plans.catalogue import query
 from sparrowdoc.sources import tables
+from sparrowdoc.sources.shared import Workspace
 from sparrowdoc.streaming import live
+from sparrowdoc.streaming.sink import ItemSink
 
 
 @query("""SELECT event_type, count(value) AS n, round(quantile_disc(value, 0.5), 1) AS p50, round(quantile_disc(value, 0.95), 1) AS p95 FROM events GROUP BY 1""")
@@ -73,6 +76,33 @@ def incomplete_streams(spark, t):
     return live.incomplete(e.where("event_type = 'click'").select("user_id").distinct(), e.where("event_type = 'purchase' and value > 100"), "user_id")
 
 
+@query("""SELECT user_id, ts FROM events a WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 DAY)""")
+def unfinished_clicks(spark, t):
+    """Clicks without a purchase of the user within a day after them."""
+    e = t("events")
+    return live.unfinished(e.where("event_type = 'click'"), e.where("event_type = 'purchase'"), "user_id", "ts", "1 day")
+
+
+@query("SELECT item_id, len(text) AS n_chars, CASE WHEN item_id % 5 = 0 THEN 'b' ELSE 'a' END AS run FROM benchmark")
+def per_item_results(spark, t):
+    """A run that is broken off and called again, and a second one for the items that had errors."""
+    sink, broken = ItemSink(spark, Workspace(spark).path("items"), "item_id"), []
+
+    def work(rows, errors=True):
+        if errors and not broken and sink.results() is not None:
+            broken.append(1)
+            raise RuntimeError("broken off")
+        return rows.select("item_id", F.length("text").cast("long").alias("n_chars"), F.expr("case when item_id % 5 = 0 then 'no answer' end" if errors else "cast(null as string)").alias("error"))
+
+    for _ in range(2):
+        try:
+            sink.run("a", t("benchmark"), work, 4)
+        except StreamingQueryException:
+            continue
+    sink.run("b", t("benchmark"), lambda rows: work(rows, False), 2)
+    return sink.best().select("item_id", "n_chars", "run")
+
+
 @query("""SELECT 'requests{kind="' || event_type || '",route="r' || (user_id % 3) || '"}' AS metric, count(*) AS value FROM events GROUP BY 1""")
 def request_counters(spark, t):
     labels = F.create_map(F.lit("route"), F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")), F.lit("kind"), F.col("event_type"))

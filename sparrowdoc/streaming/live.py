@@ -46,21 +46,32 @@ def admissions(log: DataFrame, key: str, ts: str, order: str, limit: int, window
     return ordered.mapInArrow(run, f"key {kinds['key']}, no {kinds['no']}, admitted boolean").select(F.col("key").alias(key), F.col("no").alias(order), "admitted")
 
 
-def admissions_stream(log: DataFrame, key: str, ts: str, order: str, limit: int, window: float = WINDOW_S) -> DataFrame:
-    """The same on a stream; state is the admitted times of a key, at most `limit` of them."""
-    rows = log.select(F.col(key).alias("key"), F.col(order).alias("no"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+def admissions_stream(log: DataFrame, key: str, ts: str, order: str, limit: int, window: float = WINDOW_S, late: str | None = None) -> DataFrame:
+    """The same on a stream; state is the admitted times of a key, at most `limit` of them.
+
+    With `late`, calls may be so much behind the latest one, and a key whose last admitted call the watermark has left a
+    window behind is forgotten: no later call can meet it. Without, keys are kept for ever.
+    """
+    timed = log.withWatermark(ts, late) if late else log
+    rows = timed.select(F.col(key).alias("key"), F.col(order).alias("no"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), *([F.col(ts).alias("ts")] if late else []))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def step(k, frames, state):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = Limiter(limit, window, state.get[0] if state.exists else ())
         calls = pd.concat(list(frames)).sort_values(["at", "no"])
         admitted = [own.admits(at / 1e6) for at in calls["at"]]
         state.update((list(own.admitted),))
+        if late:
+            last = own.admitted[-1] if own.admitted else 0
+            state.setTimeoutTimestamp(max(int((last + window) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": calls["key"], "no": calls["no"], "admitted": admitted})
 
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kinds['key']}, no {kinds['no']}, admitted boolean", "admitted array<double>", "append", "NoTimeout")
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kinds['key']}, no {kinds['no']}, admitted boolean", "admitted array<double>", "append", "EventTimeTimeout" if late else "NoTimeout")
 
 
 def rolling_quantiles(log: DataFrame, ts: str, value: str, by: str, width: str = "1 hour", slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:
@@ -87,6 +98,20 @@ def incomplete(started: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return started.join(done.select(key).distinct(), key, "left_anti")
 
 
+def unfinished(started: DataFrame, done: DataFrame, key: str, ts: str, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(key, ts) of what began and did not end `within` the time after it.
+
+    Both sides may be streams: each row then waits in state for its other half until the watermark, `late` behind the latest
+    times of both, has passed the time that it has, and goes; so the state holds the open rows alone. On tables it is the same
+    join. Rows with a null key or time take no part in a stream's result.
+    """
+    a, b = (rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).alias(f"{side}_key"), F.col(ts).alias(f"{side}_ts")) for rows, side in ((started, "a"), (done, "b")))
+    if a.isStreaming:
+        a, b = a.withWatermark("a_ts", late), b.withWatermark("b_ts", late)
+    both = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("b_ts") >= F.col("a_ts")) & (F.col("b_ts") <= F.col("a_ts") + F.expr(f"interval {within}")), "left_outer")
+    return both.where("b_key is null").select(F.col("a_key").alias(key), F.col("a_ts").alias(ts))
+
+
 def counters(log: DataFrame, name: str, labels: str) -> DataFrame:
     """Events by rendered metric key."""
     from sparrowdoc.functions.text import metric_key
