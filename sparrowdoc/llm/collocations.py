@@ -5,9 +5,10 @@ Texts are split into pieces at punctuation and line breaks, and these into words
 1. Words are counted. This gives the words of each language, those that are too rare to stand in a frequent phrase, and
    those that are hot, over 1/HOT of all words (so that they are HOT at most).
 2. Each word starts a suffix, cut after max_n words, at its piece's end, or before a word that is too rare; one word alone is none.
-   Equal suffixes of a run of texts are one row. Rows are dealt by language and first word and sorted downwards, so that a
-   prefix stands in one stretch, behind the longer ones that begin with it; one stack of open prefixes counts all of them. A hot
-   first word's suffixes are dealt by the words after it as well, into SALTS parts, whose counts are added up.
+   Equal suffixes of a run of texts are one row, of a key: the language, a tab, a second one if the first word is hot, and each
+   word with a space behind it. Rows are dealt by language and first word and sorted downwards by key, so that a prefix stands
+   in one stretch, behind the longer ones that begin with it; one stack of open prefixes counts all of them. A hot first
+   word's suffixes are dealt by the words after it as well, into SALTS parts, whose counts are added up.
 
 The parts of frequent phrases are then looked up among the counts: hot words in a broadcast table of HOT rows at most, all
 others by a join.
@@ -104,28 +105,38 @@ def suffixes(number: np.ndarray, linked: np.ndarray, kept: np.ndarray, max_n: in
     return at[first], size[first], times
 
 
+def _escaped(lang: bytes) -> bytes:
+    return lang.replace(b"%", b"%25").replace(b" ", b"%20").replace(b"\t", b"%09")
+
+
+def _plain(lang: Column) -> Column:
+    return F.replace(F.replace(F.replace(lang, F.lit("%20"), F.lit(" ")), F.lit("%09"), F.lit("\t")), F.lit("%25"), F.lit("%"))
+
+
 def _dealt(max_n: int, bits, hot: np.ndarray):
     @tidy
     def run(batches):
-        """(lang, text) -> g (what rows are dealt by), hot, lang, suffix (each word with a space behind it), c."""
+        """(lang, text) -> g (what rows are dealt by), key, c."""
         for w in _read(batches):
             kept = in_set(bits.value, w.hashes)
             at, size, times = suffixes(w.number, w.linked, kept[w.number], max_n)
             if not len(at):
                 continue
             data, begin = w.spaced()
-            length = begin[at + size] - begin[at]
-            offsets = np.concatenate([[0], np.cumsum(length)])
-            held = data[np.repeat(begin[at] - offsets[:-1], length) + np.arange(offsets[-1])]
-            suffix = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).cast(pa.string())
             h = w.hashes[w.number]
             g, is_hot = h[at], np.isin(h[at], hot)
             rest = np.zeros(len(at), U64)
             for i in range(1, max_n):
                 rest = mix(rest * U64(BASE) + np.where(i < size, h[np.minimum(at + i, len(h) - 1)], U64(0)))
             g = np.where(is_hot, mix(g + U64(1) + rest % U64(SALTS)), g)
-            lang = w.langs.take(pa.array(w.lang[w.number[at]])).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(is_hot), lang, suffix, pa.array(times)], names=["g", "hot", "lang", "suffix", "c"])
+            heads = [_escaped(x) + tabs for x in w.langs.to_pylist() for tabs in (b"\t", b"\t\t")]
+            ends = np.cumsum([0, *map(len, heads)])
+            head, before = 2 * w.lang[w.number[at]] + is_hot, int(ends[-1])
+            bounds = [np.column_stack(x).ravel() for x in ((ends[head], before + begin[at]), (ends[head + 1], before + begin[at + size]))]
+            both = cut_out(np.concatenate([np.frombuffer(b"".join(heads), np.uint8), data]), *bounds)
+            offsets = np.ascontiguousarray(np.frombuffer(both.buffers()[1], np.int64)[::2])
+            key = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), both.buffers()[2]]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), key, pa.array(times)], names=["g", "key", "c"])
 
     return run
 
@@ -143,18 +154,17 @@ def _large(batches, rows: int) -> Iterator[pa.Table]:
 
 
 class Stack:
-    """Counts prefixes of two to max_n words of sorted rows; what is open at the end of a block of rows stays on the stack."""
+    """Counts prefixes of two to max_n words of sorted keys; what is open at the end of a block of rows stays on the stack."""
 
     def __init__(self, max_n: int):
         self.max_n = max_n
-        self.open: dict[int, list] = {}  # number of words -> language, prefix, hot, count
-        self.lang, self.last = None, b""
-
-    def push(self, hot: np.ndarray, lang: pa.Array, suffix: pa.Array, c: np.ndarray) -> Iterator[tuple]:
-        """(language, prefix, words, hot, count) of prefixes that end in these rows, as lists or arrays by number of words."""
-        n, suffix = len(c), suffix.cast(pa.large_binary())
-        offsets = np.frombuffer(suffix.buffers()[1], np.int64)[suffix.offset : suffix.offset + n + 1]
-        data = np.frombuffer(suffix.buffers()[2], np.uint8)
+        self.open: dict[int, list] = {}  # number of words -> prefix, count
+
+    def push(self, keys: pa.Array, c: np.ndarray) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+        """(prefixes, words, counts) of the prefixes that end in these rows."""
+        n, keys = len(c), keys.cast(pa.large_binary())
+        offsets = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + n + 1]
+        data = np.frombuffer(keys.buffers()[2], np.uint8)
         space = np.flatnonzero(data == SPACE)
         before = np.searchsorted(space, offsets)  # spaces before a row
         size, has = np.diff(offsets), np.diff(before)
@@ -167,48 +177,43 @@ class Stack:
         same = np.append(0, both)
         same[which] = t[other[first]]
         common = np.searchsorted(space, offsets[:-1] + same) - before[:-1]
-        code, _ = numbered(lang.cast(pa.large_binary()))
-        common[1:][code[1:] != code[:-1]] = 0
-        head = suffix[0].as_py()
-        common[0] = sum(p[0] == lang[0].as_py() and head.startswith(p[1]) for k, p in sorted(self.open.items()))
-        common[0] += 1 if common[0] else 0  # prefixes of one word are not on the stack
+        head = keys[0].as_py()
+        common[0] = max((k for k, own in self.open.items() if head.startswith(own[0])), default=0)
         total = np.concatenate([[0], np.cumsum(c)])
         for k in range(2, self.max_n + 1):
             cut = np.flatnonzero(common < k)
             until = np.append(cut[1:], n)
             if k in self.open and len(cut):
-                own = self.open.pop(k)
-                yield [own[0]], [own[1][:-1].decode()], k, np.array([own[2]]), np.array([own[3] + total[cut[0]]])
+                prefix, count = self.open.pop(k)
+                yield pa.array([prefix], pa.large_binary()), k, np.array([count + total[cut[0]]])
             elif k in self.open:
-                self.open[k][3] += int(total[n])
+                self.open[k][1] += int(total[n])
             begins = has[cut] >= k
             at, to = cut[begins], until[begins]
             if len(at) and to[-1] == n:
                 i = at[-1]
-                self.open[k] = [lang[i].as_py(), data[offsets[i] : space[before[i] + k - 1] + 1].tobytes(), bool(hot[i]), int(total[n] - total[i])]
+                self.open[k] = [data[offsets[i] : space[before[i] + k - 1] + 1].tobytes(), int(total[n] - total[i])]
                 at, to = at[:-1], to[:-1]
             if len(at):
-                yield lang.take(pa.array(at)), cut_out(data, offsets[at], space[before[at] + k - 1]).cast(pa.large_string()).cast(pa.string()), k, hot[at], total[to] - total[at]
+                yield cut_out(data, offsets[at], space[before[at] + k - 1] + 1), k, total[to] - total[at]
 
-    def close(self) -> Iterator[tuple]:
-        for k, own in self.open.items():
-            yield [own[0]], [own[1][:-1].decode()], k, np.array([own[2]]), np.array([own[3]])
+    def close(self) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+        for k, (prefix, count) in self.open.items():
+            yield pa.array([prefix], pa.large_binary()), k, np.array([count])
 
 
 def _stacked(max_n: int, least: int):
     @tidy
     def run(batches):
-        """Sorted (hot, lang, suffix, c) -> lang, phrase, n_words, c: all prefixes, but those that are rare and whole."""
+        """Sorted (key, c) -> prefix, n_words, c: all prefixes, but those that are rare and whole."""
 
-        def made(lang, phrase, k, hot, count):
-            held = pa.array(hot | (count >= least))
-            columns = [pa.array(lang) if isinstance(lang, list) else lang, pa.array(phrase) if isinstance(phrase, list) else phrase, pa.array(np.full(len(count), k, np.int32)), pa.array(count.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "c"]).filter(held)
+        def made(prefix, k, count):
+            out = pa.RecordBatch.from_arrays([prefix.cast(pa.large_string()).cast(pa.string()), pa.array(np.full(len(count), k, np.int32)), pa.array(count.astype(np.int64))], names=["prefix", "n_words", "c"])
+            return out.filter(pc.or_(pc.greater_equal(out.column(2), least), pc.match_substring(out.column(0), "\t\t")))
 
         stack = Stack(max_n)
         for part in _large(batches, ROWS):
-            hot, lang, suffix, c = (part.column(i).combine_chunks() for i in range(4))
-            for found in stack.push(hot.to_numpy(zero_copy_only=False), lang, suffix, c.to_numpy()):
+            for found in stack.push(part.column(0).combine_chunks(), part.column(1).to_numpy()):
                 yield made(*found)
         for found in stack.close():
             yield made(*found)
@@ -225,10 +230,11 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, lang_col: str = "lang", tex
     total = own.agg(F.sum("c")).first()[0] or 0
     hot = own.where(F.col("c") > total / HOT).collect()  # HOT rows at most
     bits = docs.sparkSession.sparkContext.broadcast(hashed_set(own.where(F.col("c") >= least), "h"))
-    dealt = rows.mapInArrow(_dealt(max_n, bits, np.array([r.h for r in hot], np.int64).view(U64)), "g long, hot boolean, lang string, suffix string, c long")
-    ordered = dealt.repartition("g").sortWithinPartitions("g", F.desc("lang"), F.desc("suffix"))
-    parts = ordered.select("hot", "lang", "suffix", "c").mapInArrow(_stacked(max_n, least), "lang string, phrase string, n_words int, c long")
-    phrases = scratch.keep(parts.groupBy("lang", "phrase", "n_words").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
+    dealt = rows.mapInArrow(_dealt(max_n, bits, np.array([r.h for r in hot], np.int64).view(U64)), "g long, key string, c long")
+    ordered = dealt.repartition("g").sortWithinPartitions(F.desc("key")).select("key", "c")
+    sums = ordered.mapInArrow(_stacked(max_n, least), "prefix string, n_words int, c long").groupBy("prefix", "n_words").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    lang, phrase = (F.substring_index("prefix", "\t", i) for i in (1, -1))
+    phrases = scratch.keep(sums.select(_plain(lang).alias("lang"), F.rtrim(phrase).alias("phrase"), "n_words", "f"))
     bits.unpersist()
     return own, phrases, [(r.lang, r.word, r.c) for r in hot]
 
