@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowdoc.functions.text import citations, citations_valid, is_refusal
+from sparrowdoc.sources.shared import Workspace
 
 DIGITS = 4
 
@@ -122,10 +123,58 @@ def gate(rates: DataFrame, recall: float = 0.8, false_trigger: float = 0.1) -> D
 
 
 def nearest_rank(value: str, percent: float, digits: int = 1) -> Column:
-    """Nearest-rank quantile: the value at place ceil(n * p) of those in order."""
+    """Nearest-rank quantile of groups of bounded size: the value at place ceil(n * p) of those in order. The aggregate holds a
+    group's distinct values; exact_quantiles() does not."""
     return F.round(F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {value})"), digits)
 
 
+#: Rows of a bracket that are sorted, buckets that a larger one is cut into, and passes after which any is sorted.
+SORTED, BUCKETS, PASSES = 10_000, 256, 64
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, percents: dict[str, float], sorted_rows: int = SORTED) -> DataFrame:
+    """by, n, and nearest-rank quantiles (name -> percent) of the numbers in `value`, exact, in fixed memory a group.
+
+    A quantile's place lies in a bracket of values, at first all of the group's. A pass counts a bracket's values in BUCKETS equal parts
+    and goes on with the part that has the place, from its smallest to its largest value, until few rows or one value are left; few
+    rows are sorted. No buffer holds a group's values, and a pass' counts are combined where the rows are. Nulls and NaN take no
+    part; a group without any other value has n = 0 and no quantiles. Null groups are groups. Starts a job a pass when called.
+    """
+    work = Workspace(rows.sparkSession)
+    key = F.struct(*by)
+    number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    own = rows.select(key.alias("k"), number.alias("v"))
+    groups = work.keep(own.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p")) for name, p in percents.items())))
+    place = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("x.p") / 100)).cast("long")
+    fields = ["k", "q", "place", "size", "lo", "hi"]
+    brackets = groups.where("n > 0").select("k", "n", "lo", "hi", asked.alias("x")).select("k", F.col("x.q").alias("q"), place.alias("place"), F.col("n").alias("size"), "lo", "hi")
+    wide = (F.col("size") > sorted_rows) & (F.col("lo") < F.col("hi"))
+    own = own.where("v is not null")
+    for _ in range(PASSES):
+        large = brackets.where(wide)
+        if large.isEmpty():
+            break
+        half = lambda c: F.col(c).cast("double") / 2  # noqa: E731  a difference of halves does not overflow
+        part = F.least(F.lit(BUCKETS - 1), F.floor((half("v") - half("lo")) / (half("hi") - half("lo")) * BUCKETS))
+        inside = own.join(large, "k").where("v between lo and hi").withColumn("part", part)
+        counts = inside.groupBy("k", "q", "place", "part").agg(F.count("*").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("size").over(Window.partitionBy("k", "q").orderBy("part"))  # BUCKETS rows
+        held = counts.withColumn("upto", upto).where("upto >= place and upto - size < place").withColumn("place", F.col("place") - F.col("upto") + F.col("size"))
+        brackets = work.keep(brackets.where(~wide).select(*fields).union(held.select(*fields)))
+    one = brackets.where("lo = hi").select("k", "q", F.col("lo").alias("v"))
+    order = F.row_number().over(Window.partitionBy("k", "q").orderBy("v"))
+    few = own.join(brackets.where("lo < hi"), "k").where("v between lo and hi").withColumn("i", order).where("i = place").select("k", "q", "v")
+    found = one.union(few).groupBy("k").agg(*(F.max(F.when(F.col("q") == name, F.col("v"))).alias(name) for name in percents))
+    return groups.select("k", "n").join(found, "k", "left").select("k.*", "n", *percents)
+
+
+def beside(rows: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group's row in `more`; null groups meet."""
+    key = lambda f: F.struct(*(f[c] for c in by))
+    return rows.join(more.select(key(more).alias("__k"), *(c for c in more.columns if c not in by)), F.struct(*(rows[c] for c in by)) == F.col("__k"), "left").drop("__k")
+
+
 def picked_quantile(rows: DataFrame, by: list[str], value: str, place: Column, name: str = "q") -> DataFrame:
     """The value at a place (from 0) of a group's values in order; place may use the column n."""
     window = Window.partitionBy(*by)
@@ -137,10 +186,10 @@ def latency_summary(log: DataFrame, by: str, value: str, cached: Column, limit:
     """Quantiles of a group's latencies, of the uncached ones alone, and whether its 95th percentile meets the limit:
     undefined with any cached answer or with none at all."""
     out = log.withColumn("__c", cached).withColumn("__l", limit).withColumn("__u", F.when(~F.col("__c"), F.col(value)))
-    g = out.groupBy(by).agg(
-        F.count(value).alias("n"), F.count_if("__c").alias("n_cached"), nearest_rank(value, 50).alias("p50"), nearest_rank(value, 95).alias("p95"),
-        nearest_rank("__u", 95).alias("uncached_p95"), F.max("__l").alias("limit_ms"),
-    )
+    g = out.groupBy(by).agg(F.count(value).alias("n"), F.count_if("__c").alias("n_cached"), F.max("__l").alias("limit_ms"))
+    g = beside(g, exact_quantiles(out, [by], value, {"p50": 50, "p95": 95}).drop("n"), [by])
+    g = beside(g, exact_quantiles(out, [by], "__u", {"uncached_p95": 95}).drop("n"), [by])
+    g = g.withColumns({c: F.round(c, 1) for c in ("p50", "p95", "uncached_p95")}).select(by, "n", "n_cached", "p50", "p95", "uncached_p95", "limit_ms")
     return g.withColumn("meets", F.when((F.col("n") > 0) & (F.col("n_cached") == 0), F.col("p95") <= F.col("limit_ms")))
 
 
@@ -186,7 +235,8 @@ def latency_targets(log: DataFrame, kind: str, total: str, cached: Column, with_
     NULL, not met, where any answer of the whole run was cached, or none was asked for."""
     own = log.withColumn("__c", cached).withColumn("bucket", F.when(F.col(kind).isin(*AGGREGATE_TYPES), "aggregate").otherwise("short"))
     tainted = own.agg(F.coalesce(F.max("__c"), F.lit(False)).alias("tainted"))  # one row
-    rows = own.groupBy("bucket").agg(F.count(F.when(~F.col("__c"), F.col(total))).alias("n_uncached"), F.round(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN NOT __c THEN {total} END)"), 1).alias("p95"))
+    rows = exact_quantiles(own.withColumn("__u", F.when(~F.col("__c"), F.col(total))), ["bucket"], "__u", {"p95": 95})
+    rows = rows.select("bucket", F.col("n").alias("n_uncached"), F.round("p95", 1).alias("p95"))
     target = F.when(F.col("bucket") == "aggregate", F.lit(TARGETS["aggregate"])).otherwise(F.lit(TARGETS["short"]))
     ok = F.when(~F.col("tainted") & F.lit(with_answers) & F.col("p95").isNotNull(), F.col("p95") <= target)
     return rows.crossJoin(F.broadcast(tainted)).select("bucket", target.alias("target_ms"), "n_uncached", "p95", ok.alias("meets"))

@@ -15,7 +15,8 @@ from sparrowdoc.streaming.sink import ItemSink
 
 @query("""SELECT event_type, count(value) AS n, round(quantile_disc(value, 0.5), 1) AS p50, round(quantile_disc(value, 0.95), 1) AS p95 FROM events GROUP BY 1""")
 def latency_quantiles(spark, t):
-    return t("events").groupBy("event_type").agg(F.count("value").alias("n"), M.nearest_rank("value", 50).alias("p50"), M.nearest_rank("value", 95).alias("p95"))
+    q = M.exact_quantiles(t("events"), ["event_type"], "value", {"p50": 50, "p95": 95})
+    return q.withColumns({c: F.round(c, 1) for c in ("p50", "p95")})
 
 
 @query("""WITH e AS (SELECT *, user_id % 97 = 0 AND event_type <> 'click' AS cached, CASE WHEN event_type = 'click' THEN 50 ELSE 80 END AS lim FROM events)

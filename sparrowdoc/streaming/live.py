@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparrowdoc.operators.metrics import exact_quantiles
+
 WINDOW_S = 60.0
 
 
@@ -83,8 +85,7 @@ def rolling_quantiles(log: DataFrame, ts: str, value: str, by: str, width: str =
 
 def hourly_quantiles(log: DataFrame, ts: str, value: str, by: str) -> DataFrame:
     """Nearest-rank quantiles by hour, exact."""
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return log.groupBy(F.date_trunc("hour", ts).alias("window_start"), by).agg(F.count(value).alias("n"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    return exact_quantiles(log.withColumn("window_start", F.date_trunc("hour", ts)), ["window_start", by], value, {"p50": 50, "p95": 95})
 
 
 def sessions(log: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
