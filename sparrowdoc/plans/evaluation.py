@@ -194,6 +194,12 @@ def bootstrap_ci(spark, t):
     return stats.bootstrap(_pairs(t).select("test", "item_id", "diff"), "test")
 
 
+@query()
+def bootstrap_blocks(spark, t):
+    """Intervals of the mean value of each kind of event, by draws in blocks: a test holds them against a plain version."""
+    return stats.bootstrap_blocks(t("events").select("event_type", "event_id", F.col("value").alias("diff")), "event_type", "event_id", 1000)
+
+
 CUT = PER_QUERY.replace("rank <= 10", "rank <= 6")
 
 
