@@ -88,6 +88,7 @@ def sentences(x: Column | str, ends: str = SENTENCE_ENDS) -> Column:
 
 # -- dates and titles ----------------------------------------------------------------------------------------------------------
 
+#: The forms of dates that must be told.
 DATE_IN_NAME = r"(20[0-9]{2})[年\-/.]?([0-9]{1,2})[月\-/.]?([0-9]{1,2})(?!周)"
 WEEK_IN_NAME = r"(20[0-9]{2})年第?([0-9]{1,2})周"
 DATES_IN_TEXT = (r"(20[0-9]{2})\s*[-/.]\s*([0-9]{1,2})\s*[-/.]\s*([0-9]{1,2})", r"(20[0-9]{2})\s*年\s*([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日")
@@ -193,13 +194,13 @@ def table_rows(x: Column | str) -> Column:
 
 
 def first_number(cells: Column) -> Column:
-    """The first cell after the label that holds a number and is no check mark."""
+    """The first cell after the label that holds a number and is no check mark; the patterns are fixed values."""
     rest = F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1)))
     return F.get(F.filter(rest, lambda c: c.rlike(r"[0-9]+(?:[.,][0-9]+)?") & ~c.rlike("^[√×✓]")), F.lit(0))
 
 
 def plain_label(x: Column | str) -> Column:
-    """Is a row label no label of a thing: a date, an ordinal or a total."""
+    """Is a row label no label of a thing: a date, an ordinal or a total; the patterns are fixed values."""
     c = F.trim(col(x))
     return c.rlike(r"^(?:20[0-9]{2}[-/年.]|[0-9]{1,2}[-/月.]|20[0-9]{2}$)") | c.rlike(r"^[0-9]{1,3}$|^[一二三四五六七八九十]{1,3}$") | c.isin(*TOTAL_LABELS)
 

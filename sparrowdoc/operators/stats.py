@@ -14,7 +14,7 @@ from sparrowdoc.operators.places import placed
 from sparrowdoc.sources.shared import Workspace
 
 DIGITS, TIE = 4, 1e-9
-#: Older names of metrics, and what they are called now.
+#: Older names of metrics, what they are called now, and all names.
 METRIC_ALIASES = {"hit_within_budget": "hit_at_list", "mean_doc_coverage": "recall_at_list", "coverage_vs_ceiling": "recall_vs_ceiling", "keypoint_hit_ratio": "keypoint_recall"}
 METRICS = ("hit_at_5", "hit_at_8", "hit_at_list", "mrr", "ndcg_at_5", "ndcg_at_8", "recall_at_5", "recall_at_list", "recall_vs_ceiling", "precision_at_5", "map_at_5", "answered_ok", "keypoint_recall")
 
