@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DecimalType, DoubleType, FloatType, IntegralType, MapType, StructType
 
 VERSION = "v1"
 
@@ -76,3 +77,79 @@ RETRYABLE = (408, 409, 429, 500, 502, 503, 504)
 
 def retryable(status: Column, transport_error: Column) -> Column:
     return F.coalesce(status.isin(*RETRYABLE), F.lit(False)) | F.coalesce(transport_error, F.lit(False))
+
+
+# -- canonical JSON --------------------------------------------------------------------------------------------------------------
+
+#: Escapes of a JSON string that have a letter.
+ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+
+
+def _json_text(c: Column) -> Column:
+    out = c
+    for raw, escaped in ESCAPES:
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    rare = out
+    for i in range(0x20):
+        rare = F.replace(rare, F.lit(chr(i)), F.lit(f"\\u{i:04x}"))
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f]"), rare).otherwise(out), F.lit('"'))
+
+
+def _json_number(c: Column) -> Column:
+    """A double by its shortest digits: plain from 1e-4 to 1e16, else with an exponent of two digits at least. Java shows two digits
+    at least, so that the very smallest subnormal numbers differ from forms with one."""
+    shown = c.cast("string")
+    sign, digits = F.when(shown.startswith("-"), "-").otherwise(""), F.regexp_extract(shown, r"^-?([0-9.]+)", 1)
+    e = F.coalesce(F.nullif(F.regexp_extract(shown, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    d = F.regexp_replace(F.replace(digits, F.lit("."), F.lit("")), r"(?<=.)0+$", "")
+    whole = F.concat(F.rpad(F.substring(d, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), F.coalesce(F.nullif(F.substring(d, e + 2, F.length(d)), F.lit("")), F.lit("0")))
+    power = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    plain = F.when(~shown.contains("E"), digits).when(e.between(7, 15), whole).when(e == -4, F.concat(F.lit("0.000"), d)).otherwise(power)
+    return F.when(F.isnan(c), "NaN").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, plain))
+
+
+def canonical_json(c: Column, kind: DataType) -> Column:
+    """A column of any type as JSON with sorted keys, `, ` and `: ` between, characters outside ASCII as they are; equal values have equal
+    texts, whatever the order of fields or map entries. Null is `null`; keys of maps are shown as strings; other types are
+    strings."""
+    if isinstance(kind, StructType):
+        fields = [F.concat(_json_text(F.lit(f.name)), F.lit(": "), canonical_json(c[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        shown = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
+    elif isinstance(kind, MapType):
+        entries = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("k"), canonical_json(e["value"], kind.valueType).alias("v"))))
+        shown = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(_json_text(e["k"]), F.lit(": "), e["v"])), ", "), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        shown = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_json(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, (FloatType, DoubleType)):
+        shown = _json_number(c.cast("double"))
+    elif isinstance(kind, (IntegralType, BooleanType, DecimalType)):
+        shown = c.cast("string")
+    else:
+        shown = _json_text(c.cast("string"))
+    return F.when(c.isNull(), F.lit("null")).otherwise(shown)
+
+
+def canonical(rows: DataFrame, *columns: str) -> Column:
+    """The named columns of rows as one JSON object."""
+    return canonical_json(F.struct(*columns), rows.select(F.struct(*columns).alias("s")).schema["s"].dataType)
+
+
+def state_fingerprint(rows: DataFrame, *columns: str, digits: int = 16) -> Column:
+    """The first digits of the SHA-256 of the columns as canonical JSON."""
+    return F.substring(F.sha2(canonical(rows, *columns), 256), 1, digits)
+
+
+#: What identifies an index, the version of its rows, and the columns that identify how answers were made.
+INDEX_COLUMNS, PAYLOAD_SCHEMA = ("collection", "n_points", "n_chunks", "embed_model", "chunk_strategy", "bm25_strategy"), "2"
+
+
+def index_fingerprint(rows: DataFrame) -> Column:
+    """16 digits of an index' state, from INDEX_COLUMNS of rows and the version of its rows."""
+    own = rows.withColumn("payload_schema", F.lit(PAYLOAD_SCHEMA))
+    kind = own.select(F.struct(*INDEX_COLUMNS, "payload_schema").alias("s")).schema["s"].dataType
+    return F.substring(F.sha2(canonical_json(F.struct(*INDEX_COLUMNS, F.lit(PAYLOAD_SCHEMA).alias("payload_schema")), kind), 256), 1, 16)
+
+
+def prompt_fingerprint(*texts: str) -> Column:
+    """12 digits over the texts that a prompt is made of, in order."""
+    return F.substring(F.sha2(F.concat_ws("\0", *(F.coalesce(F.col(c), F.lit("")) for c in texts)), 256), 1, 12)

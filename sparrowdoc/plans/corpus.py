@@ -260,3 +260,12 @@ def json_line_outcomes(spark, t):
     t("documents").withColumn("j", j).select(line.alias("value")).write.text(path)
     lines = readers.json_lines(spark, path, "id long, text string, n_chars long", needed=("id", "text"))
     return lines.groupBy("outcome", "error").agg(F.count("*").alias("lines"), F.sum("record.n_chars").alias("n_chars"))
+
+
+@query(r"""WITH g AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first, min(text) AS least FROM documents GROUP BY ALL)
+SELECT source, lang, substr(sha256('{"a_first": ' || first || ', "text": ' || '"' || replace(replace(replace(replace(substr(least, 1, 40), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') || '"' || ', "z": {"lang": "' || lang || '", "n": ' || n || '}}'), 1, 16) AS state FROM g""")
+def state_fingerprints(spark, t):
+    """Fingerprints of nested values as JSON with sorted keys."""
+    g = t("documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("a_first"), F.substring(F.min("text"), 1, 40).alias("text"))
+    g = g.withColumn("z", F.struct("n", "lang"))
+    return g.select("source", "lang", provenance.state_fingerprint(g, "z", "text", "a_first").alias("state"))
