@@ -96,16 +96,20 @@ def _json_text(c: Column) -> Column:
 
 
 def _json_number(c: Column) -> Column:
-    """A double by its shortest digits: plain from 1e-4 to 1e16, else with an exponent of two digits at least. Java shows two digits
-    at least, so that the very smallest subnormal numbers differ from forms with one."""
-    shown = c.cast("string")
-    sign, digits = F.when(shown.startswith("-"), "-").otherwise(""), F.regexp_extract(shown, r"^-?([0-9.]+)", 1)
-    e = F.coalesce(F.nullif(F.regexp_extract(shown, r"E(-?[0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
-    d = F.regexp_replace(F.replace(digits, F.lit("."), F.lit("")), r"(?<=.)0+$", "")
-    whole = F.concat(F.rpad(F.substring(d, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), F.coalesce(F.nullif(F.substring(d, e + 2, F.length(d)), F.lit("")), F.lit("0")))
-    power = F.concat(F.regexp_replace(digits, r"\.0$", ""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
-    plain = F.when(~shown.contains("E"), digits).when(e.between(7, 15), whole).when(e == -4, F.concat(F.lit("0.000"), d)).otherwise(power)
-    return F.when(F.isnan(c), "NaN").when(F.abs(c) == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, plain))
+    """A double by the fewest digits that give it back: plain from 1e-4 to 1e16, else with an exponent of two digits at least.
+    Where it takes 16 or 17 of them, Java may choose another last digit than other writers, of those that give the same double; and of
+    the very smallest subnormal numbers it shows two digits."""
+    forms = [F.format_string(f"%.{k}e", c) for k in (14, 15, 16)]
+    shown = F.coalesce(*(F.when(f.cast("double") == c, f) for f in forms[:2]), forms[2])
+    sign, e = F.when(shown.startswith("-"), "-").otherwise(""), F.regexp_extract(shown, r"e([+-][0-9]+)$", 1).cast("int")
+    d = F.regexp_replace(F.replace(F.regexp_extract(shown, r"^-?([0-9.]+)", 1), F.lit("."), F.lit("")), r"(?<=.)0+$", "")
+    rest = lambda n: F.nullif(F.substring(d, n, F.length(d)), F.lit(""))
+    whole = F.concat(F.rpad(F.substring(d, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."), F.coalesce(rest(e + 2), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
+    size = F.abs(e).cast("string")
+    power = F.concat(F.substring(d, 1, 1), F.coalesce(F.concat(F.lit("."), rest(F.lit(2))), F.lit("")), F.when(e < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+    plain = F.when(e.between(0, 15), whole).when(e.between(-4, -1), small).otherwise(power)
+    return F.when(F.isnan(c), "NaN").when(F.abs(c) == float("inf"), F.when(c < 0, "-Infinity").otherwise("Infinity")).otherwise(F.concat(sign, plain))
 
 
 def canonical_json(c: Column, kind: DataType) -> Column:
