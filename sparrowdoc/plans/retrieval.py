@@ -64,9 +64,7 @@ x AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 SELECT query_id, rank, doc_id, score, bm25_rank, overlap_rank FROM x WHERE rank <= 12""")
 def hybrid_rrf(spark, t):
     docs, asked = t("documents"), _passages(t)
-    terms, distinct, _ = retrieve.wanted_terms(asked)
-    overlap = retrieve.postings(docs, only=distinct).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
-    legs = {"bm25": retrieve.bm25_topk(docs, asked, 50), "overlap": retrieve.ranked(overlap, 50)}
+    legs = {"bm25": retrieve.bm25_topk(docs, asked, 50), "overlap": retrieve.bm25_topk(docs, asked, 50, weighed=False)}
     return retrieve.fused(legs, 12).select("query_id", "rank", "doc_id", "score", "bm25_rank", "overlap_rank")
 
 
@@ -123,8 +121,8 @@ SELECT query_id, rank, doc_id, score, n_before_fallback, false AS filter_fallbac
 UNION ALL SELECT query_id, rank, doc_id, score, n_before_fallback, true FROM u JOIN n USING (query_id) WHERE n_before_fallback < 3 AND rank <= 8""")
 def filtered_with_fallback(spark, t):
     docs, asked = t("documents"), _passages(t)
-    narrow, wide = retrieve.bm25_topk(docs, asked, 8, retrieve.payload_filter({"lang": "fr", "n_chars": {"lt": 300}})), retrieve.bm25_topk(docs, asked, 8)
-    return retrieve.with_fallback(narrow, wide, asked, 8).select("query_id", "rank", "doc_id", "score", "n_before_fallback", "filter_fallback")
+    found = retrieve.bm25_with_fallback(docs, asked, 8, retrieve.payload_filter({"lang": "fr", "n_chars": {"lt": 300}}))
+    return found.select("query_id", "rank", "doc_id", "score", "n_before_fallback", "filter_fallback")
 
 
 CHUNK_TOKENS = rf"SELECT doc_id || ':' || lpad(chunk_no::VARCHAR, 5, '0') AS doc_id, unnest(regexp_extract_all(lower(chunk), '[\p{{L}}\p{{N}}]+')) AS term FROM ({CHUNKS})"
