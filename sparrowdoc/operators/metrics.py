@@ -129,7 +129,7 @@ def nearest_rank(value: str, percent: float, digits: int = 1) -> Column:
 
 
 #: Rows of a bracket that are sorted, buckets that a larger one is cut into, and passes after which any is sorted.
-SORTED, BUCKETS, PASSES = 10_000, 256, 64
+SORTED, BUCKETS, PASSES = 100_000, 256, 64
 
 
 def exact_quantiles(rows: DataFrame, by: list[str], value: str, percents: dict[str, float], sorted_rows: int = SORTED) -> DataFrame:
@@ -144,7 +144,14 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, percents: dict[s
     key = F.struct(*by)
     number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
     own = rows.select(key.alias("k"), number.alias("v"))
-    groups = work.keep(own.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    groups = own.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    if groups.where(F.col("n") > sorted_rows).isEmpty():  # each group is few rows
+        whole = Window.partitionBy("k")
+        ranks = own.withColumn("n", F.count("v").over(whole)).withColumn("i", F.row_number().over(whole.orderBy(F.asc_nulls_last("v"))))
+        at = lambda p: F.greatest(F.lit(1), F.ceil(F.col("n") * float(p) / 100))
+        found = ranks.groupBy("k").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("i") == at(p), F.col("v"))).alias(name) for name, p in percents.items()))
+        return found.select("k.*", "n", *percents)
+    groups = work.keep(groups)
     asked = F.explode(F.array(*(F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p")) for name, p in percents.items())))
     place = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("x.p") / 100)).cast("long")
     fields = ["k", "q", "place", "size", "lo", "hi"]

@@ -19,7 +19,7 @@ def brute(rows, percents):
     return out
 
 
-@pytest.mark.parametrize("few", [1, 3, 10_000])
+@pytest.mark.parametrize("few", [1, 3, 100_000])
 def test_brackets(spark, few):
     r = random.Random(4)
     rows = [("even", float(i)) for i in range(700)] + [("one", 5.0)] * 400 + [("skew", 2.0 ** r.randint(-900, 900)) for _ in range(500)] + [("wide", r.choice([-1.7e308, 1.7e308, 0.0, -0.0, 1e-300])) for _ in range(300)]
