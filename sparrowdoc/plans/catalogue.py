@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("corpus", "retrieval", "evaluation", "mined", "logs", "layouts", "stored")
+MODULES = ("corpus", "retrieval", "evaluation", "mined", "logs", "layouts", "stored", "pools")
 
 
 def query(sql: str | None = None):
