@@ -85,10 +85,10 @@ def structural(blocks: list[dict], most: int = MOST, lossless: bool = True, ends
 
     A chunk's path is that above its last block, its page the first one there is, its type that of its first block; text longer
     than `most` is cut into sentence windows. Headings after all other blocks are a chunk without a page, under the path of what
-    stands before them.
+    stands before them. A heading without a level (or of level 0) belongs to no path and is text.
     """
     rows = [b for b in blocks if (b.get("text") or "").strip()]
-    kinds = ["heading" if b["type"] == "heading" else "table" if b["type"] == "table" else "text" for b in rows]
+    kinds = ["heading" if b["type"] == "heading" and b.get("heading_level") else "table" if b["type"] == "table" else "text" for b in rows]
     marks = chunk_marks(kinds, [len(b["text"]) for b in rows], most)
     paths = section_paths(kinds, [b.get("heading_level") for b in rows], [b["text"] for b in rows])
     out = []

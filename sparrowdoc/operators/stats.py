@@ -16,6 +16,8 @@ from sparrowdoc.sources.shared import Workspace
 DIGITS, TIE = 4, 1e-9
 #: Older names of metrics, what they are called now, and all names.
 METRIC_ALIASES = {"hit_within_budget": "hit_at_list", "mean_doc_coverage": "recall_at_list", "coverage_vs_ceiling": "recall_vs_ceiling", "keypoint_hit_ratio": "keypoint_recall"}
+ANSWER_METRICS = ("answered_ok", "keypoint_recall")
+JUDGED = ("faithfulness", "answer_relevancy")
 METRICS = ("hit_at_5", "hit_at_8", "hit_at_list", "mrr", "ndcg_at_5", "ndcg_at_8", "recall_at_5", "recall_at_list", "recall_vs_ceiling", "precision_at_5", "map_at_5", "answered_ok", "keypoint_recall")
 
 
@@ -34,6 +36,92 @@ def complete(run_items: DataFrame, expected: int) -> DataFrame:
     return run_items
 
 
+#: The fields of an item in a run's results, and of a judge's scores.
+RUN_ITEM = """id string, type string, doc_coverage double, doc_coverage_ceiling double, first_hit_rank int, ndcg_at_5 double, ndcg_at_8 double, recall_at_5 double,
+precision_at_5 double, ap_at_5 double, answered_ok boolean, keypoint_hit double, n_retrieved int, n_contexts int, n_key_points int"""
+JUDGED_ITEM = "id string, type string, n_contexts int, faithfulness double, answer_relevancy double"
+
+
+def _score(metric: str) -> Column:
+    """An item's value of a metric, or NULL where it has none: without gold there is no retrieval to score."""
+    if metric in JUDGED:
+        return F.col(metric)
+    if metric == "keypoint_recall":
+        return F.col("keypoint_hit")
+    if metric == "answered_ok":
+        return F.col("answered_ok").cast("double")
+    rank, gold = F.nullif("first_hit_rank", F.lit(0)), F.col("doc_coverage").isNotNull()
+    if metric == "mrr":
+        value = F.coalesce(1 / rank, F.lit(0.0))
+    elif metric == "recall_at_list":
+        value = F.col("doc_coverage")
+    elif metric == "recall_vs_ceiling":
+        value = F.col("doc_coverage") / F.nullif("doc_coverage_ceiling", F.lit(0.0))
+    elif metric.startswith("hit_at_"):
+        near = F.lit(True) if metric == "hit_at_list" else rank <= int(metric.removeprefix("hit_at_"))
+        value = F.coalesce(rank.isNotNull() & near, F.lit(False)).cast("double")
+    else:
+        value = F.col("ap_at_5" if metric == "map_at_5" else metric)
+    return F.when(gold, value.cast("double"))
+
+
+def item_scores(items: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """run_id, item_id, type, metric, track, score, list_len, ctx_len, ceiling, k: a row for each item and metric that has a value.
+
+    items has run_id and RUN_ITEM (or JUDGED_ITEM for a judge's metrics; fields that it lacks are NULL). Older names of metrics
+    are understood; without a list all that items can hold are given. No shuffle: each item becomes its metrics' rows.
+    """
+    judged = all(m in items.columns for m in JUDGED)
+    chosen = list(dict.fromkeys(m if m in JUDGED else metric_name(m) for m in metrics)) if metrics else [*(METRICS if "doc_coverage" in items.columns else ()), *(JUDGED if judged else ())]
+    fields = [f.split() for f in f"{RUN_ITEM}, {JUDGED_ITEM}".replace("\n", " ").split(",")]
+    known = {name for name, _ in fields}
+    full = items.select("run_id", *(c for c in items.columns if c in known))
+    for name, kind in fields:
+        if name not in full.columns:
+            full = full.withColumn(name, F.lit(None).cast(kind))
+    track = lambda m: "judged" if m in JUDGED else "answer" if m in ANSWER_METRICS else "retrieval"
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(track(m)).alias("track"), _score(m).alias("score")) for m in chosen))
+    return full.select("run_id", F.col("id").alias("item_id"), F.coalesce("type", F.lit("")).alias("type"), F.inline(F.filter(each, lambda e: e["score"].isNotNull())), F.col("n_retrieved").alias("list_len"), F.col("n_contexts").alias("ctx_len"), F.col("doc_coverage_ceiling").alias("ceiling"), F.col("n_key_points").alias("k"))
+
+
+def refused_runs(runs: DataFrame, items: DataFrame) -> DataFrame:
+    """run_id, reason, n of the runs (run_id, partial, expected: NULL if unknown) that are no evidence: marked as partial, without
+    items, with an item twice, or with fewer than expected. n counts distinct items."""
+    counts = items.groupBy("run_id").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("n"))
+    both = runs.select("run_id", "partial", "expected").join(counts, "run_id", "left").na.fill(0, ["rows", "n"])
+    reason = F.when(F.coalesce("partial", F.lit(False)), "partial").when(F.col("n") == 0, "no items").when(F.col("rows") > F.col("n"), "an item twice").when(F.col("n") < F.col("expected"), "too few items")
+    return both.withColumn("reason", reason).where("reason is not null").select("run_id", "reason", "n")
+
+
+def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Result files as (runs, items, judged): run_id (the file's name), malformed, partial, expected; run_id and RUN_ITEM; run_id and JUDGED_ITEM.
+
+    A file is a JSON object: meta (partial, n_items), items, and a judge's per_item under summary or, beside it, under ragas, the
+    first that is there. A file that is none is malformed and partial, so that refused_runs() names it.
+    """
+    per = f"struct<per_item: array<{_struct(JUDGED_ITEM)}>>"
+    schema = f"meta struct<partial: boolean, n_items: long>, items array<{_struct(RUN_ITEM)}>, summary {per}, ragas {per}"
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("run_id"), F.from_json("value", schema).alias("r"), F.coalesce(F.try_parse_json("value").isNull(), F.lit(True)).alias("malformed"))
+    runs = rows.select("run_id", "malformed", (F.col("malformed") | F.coalesce("r.meta.partial", F.lit(False))).alias("partial"), F.col("r.meta.n_items").alias("expected"))
+    judged = F.coalesce("r.summary.per_item", "r.ragas.per_item")
+    return runs, rows.select("run_id", F.inline("r.items")), rows.select("run_id", F.inline(judged))
+
+
+def _struct(fields: str) -> str:
+    return "struct<" + ", ".join(": ".join(f.split()) for f in fields.replace("\n", " ").split(",")) + ">"
+
+
+def load_scores(spark: SparkSession, path: str, metric: str) -> DataFrame:
+    """item_scores() of a metric from result files; an error that names the runs, if any may not be read as evidence. A job looks at
+    the runs before the result is returned."""
+    runs, items, judged = read_runs(spark, path)
+    own = judged if metric in JUDGED else items
+    bad = refused_runs(runs, own).orderBy("run_id").limit(20).collect()
+    if bad:
+        raise ValueError("not to be read as whole runs: " + "; ".join(f"{r.run_id}: {r.reason}" for r in bad))
+    return item_scores(own, [metric])
+
+
 def pooled(runs: DataFrame, group: str = "arm", run: str = "run_id", item: str = "item_id", score: str = "score") -> tuple[DataFrame, DataFrame]:
     """Each item's mean over an arm's repeated runs; and for each arm the runs and the range of their means (NULL for one)."""
     scored = runs.where(F.col(score).isNotNull())

@@ -199,11 +199,11 @@ def suffix_counts(spark, t):
     return tables.suffix_counts(t("documents").select(path.alias("path")))
 
 
-@query("""SELECT CASE WHEN n_chars >= 50 THEN 'text' WHEN doc_id % 3 = 0 THEN 'near_empty' WHEN doc_id % 3 = 1 THEN 'ocr_applied' ELSE 'ocr_unavailable' END AS outcome, count(*) AS n, array_to_string(list(lpad(doc_id::VARCHAR, 9, '0') ORDER BY lpad(doc_id::VARCHAR, 9, '0')), ',') AS names FROM documents WHERE n_chars < 400 GROUP BY 1""")
+@query("""WITH o AS (SELECT CASE WHEN n_chars >= 50 THEN 'text' WHEN doc_id % 3 = 0 THEN 'near_empty' WHEN doc_id % 3 = 1 THEN 'ocr_applied' ELSE 'ocr_unavailable' END AS outcome, lpad(doc_id::VARCHAR, 9, '0') AS name FROM documents)
+SELECT outcome, count(*) OVER (PARTITION BY outcome) AS n, row_number() OVER (PARTITION BY outcome ORDER BY name) AS no, name FROM o""")
 def outcome_names(spark, t):
-    rows = t("documents").where("n_chars < 400").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.col("n_chars").alias("chars"), F.lit(1).alias("pages"), F.expr("doc_id % 3").alias("images"), F.expr("case when doc_id % 3 = 1 then text end").alias("ocr"))
-    out = tables.outcomes_with_names(rows.withColumn("outcome", tables.parsing_outcome("chars", "pages", "images", "ocr")), "outcome", "name")
-    return out.withColumn("names", F.array_join("names", ","))
+    rows = t("documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), F.col("n_chars").alias("chars"), F.lit(1).alias("pages"), F.expr("doc_id % 3").alias("images"), F.expr("case when doc_id % 3 = 1 then text end").alias("ocr"))
+    return tables.outcomes_with_names(rows.withColumn("outcome", tables.parsing_outcome("chars", "pages", "images", "ocr")), "outcome", "name")
 
 
 @query(r"""SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1""")

@@ -352,3 +352,28 @@ def rgb_assembly_counterfactual(spark, t):
     out = robustness.assemble(rows.where("correct_rate = 0").withColumn("dataset", F.lit("zh_fact")).withColumn("noise_rate", F.lit(0.0)))
     some = robustness.assemble(rows.where("correct_rate > 0").withColumn("dataset", F.lit("zh_fact")).withColumn("noise_rate", F.lit(0.0))).withColumn("noise_rate", F.lit(0.4))
     return _kinds(out.union(some), altered="w", true_ones="a")
+
+
+#: Three runs over the documents, whose readings are functions of their ids; the last one broke off.
+RUN_ITEMS = """d AS (SELECT doc_id, n_chars, r FROM documents, range(0, 3) AS x(r) WHERE r < 2 OR doc_id % 4 <> 0),
+u AS (SELECT 'run' || r AS run_id, doc_id::VARCHAR AS id, CASE WHEN doc_id % 9 <> 0 THEN (doc_id + r) % 5 / 4.0::DOUBLE END AS coverage, CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ceiling, CASE WHEN (doc_id + r) % 5 > 0 THEN (n_chars + r) % 12 END AS hit, doc_id % 2 = 0 AS ok FROM d)"""
+
+
+def _run_items(spark, t):
+    d = t("documents").select("doc_id", "n_chars").crossJoin(F.broadcast(spark.range(3).select(F.col("id").cast("int").alias("r")))).where("r < 2 or doc_id % 4 <> 0")  # three rows a document
+    return d.selectExpr(
+        "concat('run', r) as run_id", "cast(doc_id as string) as id", "case when doc_id % 9 <> 0 then (doc_id + r) % 5 / 4.0D end as doc_coverage", "case when doc_id % 3 = 0 then 0.0D else 1.0D end as doc_coverage_ceiling",
+        "cast(case when (doc_id + r) % 5 > 0 then (n_chars + r) % 12 end as int) as first_hit_rank", "case when doc_id % 7 > 0 then doc_id % 2 = 0 end as answered_ok",
+    )
+
+
+@query(f"""WITH {RUN_ITEMS}, m AS (SELECT run_id, id AS item_id, 'hit_at_5' AS metric, 'retrieval' AS track, (coalesce(hit, 0) BETWEEN 1 AND 5)::INTEGER::DOUBLE AS score FROM u WHERE coverage IS NOT NULL
+UNION ALL SELECT run_id, id, 'hit_at_list', 'retrieval', (coalesce(hit, 0) > 0)::INTEGER::DOUBLE FROM u WHERE coverage IS NOT NULL UNION ALL SELECT run_id, id, 'mrr', 'retrieval', coalesce(1.0::DOUBLE / nullif(hit, 0), 0) FROM u WHERE coverage IS NOT NULL
+UNION ALL SELECT run_id, id, 'recall_vs_ceiling', 'retrieval', coverage / ceiling FROM u WHERE coverage IS NOT NULL AND ceiling > 0 UNION ALL SELECT run_id, id, 'answered_ok', 'answer', ok::INTEGER::DOUBLE FROM u WHERE id::BIGINT % 7 > 0)
+SELECT * FROM m WHERE run_id <> 'run2'""")
+def run_item_scores(spark, t):
+    """Scores by item of the runs that may be read: an older name of a metric among them, and a run that is refused."""
+    items = _run_items(spark, t)
+    runs = t("documents").agg(F.count("*").alias("expected")).select(F.explode(F.array(*(F.lit(f"run{i}") for i in range(3)))).alias("run_id"), F.lit(False).alias("partial"), "expected")
+    whole = items.join(F.broadcast(stats.refused_runs(runs, items).select("run_id")), "run_id", "left_anti")  # at most a row for each run
+    return stats.item_scores(whole, ["hit_at_5", "hit_within_budget", "mrr", "coverage_vs_ceiling", "answered_ok"]).select("run_id", "item_id", "metric", "track", "score")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparrowdoc.functions.text import content_id
+from sparrowdoc.operators.places import placed
 
 TEXT_CHARS = 120  # documents with fewer characters give no evaluation items
 
@@ -132,8 +133,17 @@ def suffix_counts(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def outcomes_with_names(rows: DataFrame, outcome: str, name: str) -> DataFrame:
-    """outcome, n, and the names, in order."""
-    return rows.groupBy(outcome).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
+    """outcome, n, no, name: each name as a row, with its place (from 1) in its outcome and the number of rows there. NULL outcomes
+    are one, NULL names come first in theirs.
+
+    Places are counted by ranges of outcome and name together, so that an outcome of any size is the work of many tasks.
+    """
+    kinds = rows.groupBy(outcome).agg(F.count("*").alias("n")).withColumnRenamed(outcome, "__kind")
+    key = F.concat_ws("", F.coalesce(F.col(outcome), F.lit("")), F.lit("\u0000"), F.when(F.col(outcome).isNull(), "0").otherwise("1"), F.coalesce(F.col(name), F.lit("")))
+    own = placed(rows.select(outcome, name, key.alias("__key")), ["__key", name], "__at")
+    first = own.groupBy(outcome).agg(F.min("__at").alias("__first")).withColumnRenamed(outcome, "__own")
+    joined = own.join(F.broadcast(first), F.col(outcome).eqNullSafe(F.col("__own"))).join(F.broadcast(kinds), F.col(outcome).eqNullSafe(F.col("__kind")))  # a row for each outcome
+    return joined.select(outcome, "n", (F.col("__at") - F.col("__first") + 1).alias("no"), name)
 
 
 # -- a keyed cache as a table ----------------------------------------------------------------------------------------------------

@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from sparrowdoc.sources import readers
+from sparrowdoc.operators import places
+from sparrowdoc.sources import readers, tables
 
 
 def made(root):
@@ -66,3 +67,15 @@ def test_lines(spark, tmp_path):
     assert tuple(readers.counts(lines).first()) == (9, 2, 0, 2, 5)
     assert sorted((r.error, r.line) for r in lines.where("outcome = 'failed'").collect())[0] == ("no JSON object", '"x"')
     assert readers.json_lines(spark, str(tmp_path / "none"), "id long, t string").count() == 0
+
+
+def test_names_of_outcomes(spark, monkeypatch):
+    """Places within outcomes, by one range and by several; nulls and repeated names."""
+    data = [("b", "x"), ("a", "z"), ("a", "y"), ("a", "y"), (None, "q"), ("a", None), ("", "w")]
+    want = [(None, 1, 1, "q"), ("", 1, 1, "w"), ("a", 4, 1, None), ("a", 4, 2, "y"), ("a", 4, 3, "y"), ("a", 4, 4, "z"), ("b", 1, 1, "x")]
+    rows = spark.createDataFrame(data, "outcome string, name string")
+    got = lambda: sorted(map(tuple, tables.outcomes_with_names(rows, "outcome", "name").collect()), key=repr)
+    assert got() == sorted(want, key=repr)
+    monkeypatch.setattr(places, "RANGE_ROWS", 2)
+    assert got() == sorted(want, key=repr)
+    assert tables.outcomes_with_names(rows.where("false"), "outcome", "name").collect() == []

@@ -407,7 +407,11 @@ def test_structural_chunks_by_marks():
     rng = random.Random(5)
     for _ in range(300):
         blocks = [{"type": rng.choice(["heading", "table", "paragraph", "paragraph", "list_item"]), "text": rng.choice(["x", " ", "y" * 290, "z" * 320, "w" * 601, "a。" * 30]), "heading_level": rng.choice([None, 1, 2, 3]), "page": rng.choice([None, 1, 2])} for _ in range(rng.randrange(12))]
-        got, real = chunk.structural(blocks), [b for b in blocks if b["text"].strip()]
+        # a heading without a level is text, its own type aside
+        plain = [b | {"type": "paragraph"} if b["type"] == "heading" and b["heading_level"] is None else b for b in blocks]
+        got, real = chunk.structural(plain), [b for b in plain if b["text"].strip()]
+        bare = lambda chunks: [{k: v for k, v in c.items() if k != "block_type"} for c in chunks]
+        assert bare(chunk.structural(blocks)) == bare(got)
         # all text is there, in order, but for what windows repeat
         flat = "".join(c["text"].replace("\n", "") for c in got if c["block_type"] != "heading")
         for b in real:
@@ -425,6 +429,9 @@ def test_structural_chunks_by_marks():
     assert [(c["section_path"], len(c["text"])) for c in chunk.structural([h("A", 1), p(299), h("B", 3), p(5)])] == [(["A", "B"], 305)]
     assert [(c["section_path"], len(c["text"])) for c in chunk.structural([h("A", 1), p(300), h("B", 3), p(5), h("C", 1), h("D", 1)])] == [(["A"], 300), (["A", "B"], 5), (["A", "B"], 3)]
     assert [c["text"] for c in chunk.structural([p(600), p(7)])] == ["x" * 600, "x" * 7]
+    # without a level: in the text of a chunk, in no path, and no chunk of its own at the end
+    assert [(c["text"], c["section_path"], c["block_type"]) for c in chunk.structural([h("A", 1), h("B", None), p(3), h("C", 0)])] == [("B\nxxx\nC", ["A"], "heading")]
+    assert [(c["text"], c["section_path"]) for c in chunk.structural([h("A", None)])] == [("A", [])]
 
 
 def test_term_values(spark):
