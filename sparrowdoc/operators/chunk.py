@@ -104,21 +104,26 @@ def structural(blocks: list[dict], most: int = MOST, lossless: bool = True, ends
     return out
 
 
+#: Documents whose chunks are Python objects at once; the blocks of one are at a time.
+PART = 64
 CHUNKS = "doc_id string, chunk_no int, chunk_id string, text string, section_path array<string>, page int, block_type string"
 
 
 def chunk_structural(docs: DataFrame, most: int = MOST, lossless: bool = True, ends: str = SENTENCE_ENDS) -> DataFrame:
     """(doc_id, blocks) -> chunks numbered from 1 in each document; a document's blocks are one row."""
 
+    types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, i, f"{doc}:{i}", c["text"], c["section_path"], c["page"], c["block_type"]) for i, c in enumerate(structural(blocks or [], most, lossless, ends), 1)]
-            if rows:
-                types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
-                names = [x.split()[0] for x in CHUNKS.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            for at in range(0, len(batch), PART):
+                part, rows = batch.slice(at, PART), []
+                for doc, blocks in zip(part.column(0), part.column(1), strict=True):
+                    doc = doc.as_py()
+                    rows += [(doc, i, f"{doc}:{i}", c["text"], c["section_path"], c["page"], c["block_type"]) for i, c in enumerate(structural(blocks.as_py() or [], most, lossless, ends), 1)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("string"), "blocks").mapInArrow(run, CHUNKS)
 
