@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowdoc.operators.retrieve import _unit, dense_topk, ranked
+from sparrowdoc.operators.retrieve import BLOCK, Best, _unit, dense_topk, ranked
 from sparrowdoc.sources.shared import Workspace, delete
 
 SAMPLE, WIDTH, CODES, ROUNDS, SEED = 20_000, 4, 256, 12, 7
 #: Sample queries, their nearest rows, and the share of these that the model's own numbers of probes and refined rows must each hold.
 TUNED, NEAREST, SHARE = 200, 10, 0.98
-#: Most cells; bytes of queries of a broadcast piece; rows that are decoded at once.
-CELLS, PIECE_BYTES, ROWS = 4096, 32 << 20, 2048
+#: Most cells; bytes of queries of a broadcast piece, and rows that a task holds for one; rows that are decoded at once.
+CELLS, PIECE_BYTES, PIECE_ROWS, ROWS = 4096, 32 << 20, 1 << 20, 2048
 
 
 def _centres(x: np.ndarray, n: int, unit: bool) -> np.ndarray:
@@ -136,7 +136,8 @@ class VectorIndex:
         work = Workspace(self.spark)
         asked = queries.where(F.col(query_id).isNotNull() & F.col(vec).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vec).cast("array<double>").alias("q"))
         kind, most, found = dict(asked.dtypes)["query_id"], k * (refine or self.model.refine), None
-        pieces = max(1, -(-asked.count() * self.model.dim * 8 // PIECE_BYTES))
+        n = asked.count()
+        pieces = max(1, -(-n * self.model.dim * 8 // PIECE_BYTES), -(-n * (most + 1) // PIECE_ROWS))
         for i in range(pieces):
             own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == i).toArrow().combine_chunks()
             if not len(own):
@@ -148,8 +149,9 @@ class VectorIndex:
             sent = self.spark.sparkContext.broadcast((self.model, own.column("query_id").combine_chunks(), q, order // p, np.searchsorted(cells.ravel()[order], np.arange(len(self.model.centres) + 1))))
 
             def near(batches, sent=sent):
-                """(vec_id, code, cell) -> what may be among the best of a query that probes the cell."""
+                """(vec_id, code, cell) -> the task's best of each query that probes the cells."""
                 model, ids, q, holders, cuts = sent.value
+                best = Best(len(ids), most + 1)  # one for the query's own row
                 for batch in batches:
                     cell = batch.column(2).to_numpy()
                     code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
@@ -157,17 +159,15 @@ class VectorIndex:
                         at = np.flatnonzero(cell == c)
                         for b in range(0, len(at), ROWS):
                             rows = at[b : b + ROWS]
-                            here = holders[cuts[c] : cuts[c + 1]]
-                            for d in range(0, len(here), ROWS):
-                                score = q[here[d : d + ROWS]] @ model.decoded(cell[rows], code[rows]).T
-                                m = min(most + 1, len(rows))  # one for the query's own row
-                                best = np.argpartition(-score, m - 1, axis=1)[:, :m]
-                                qi, ci = np.repeat(here[d : d + ROWS], m), rows[best.ravel()]
-                                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), batch.column(0).take(pa.array(ci)), pa.array(cell[ci]), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=["query_id", "vec_id", "cell", "near"])
+                            here, take = holders[cuts[c] : cuts[c + 1]], pa.array(rows)
+                            decoded = model.decoded(cell[rows], code[rows]).T
+                            for d in range(0, len(here), BLOCK):
+                                best.offer(here[d : d + BLOCK], [batch.column(0).take(take), batch.column(2).take(take)], q[here[d : d + BLOCK]] @ decoded)
+                yield from best.batches(ids, ["query_id", "near", "vec_id", "cell"])
 
             probed = np.unique(cells).tolist()
             rows = self.read().where(F.col("cell").isin(*probed)).select("vec_id", "code", "cell")
-            hits = rows.mapInArrow(near, f"query_id {kind}, vec_id {self.kind}, cell int, near double").where("query_id <> vec_id")
+            hits = rows.mapInArrow(near, f"query_id {kind}, near double, vec_id {self.kind}, cell int").select("query_id", "vec_id", "cell", "near").where("query_id <> vec_id")
             found = hits if found is None else found.union(hits)
         if found is None:
             return ranked(asked.join(self.read().limit(0), F.lit(True)).select("query_id", "vec_id", F.lit(0.0).alias("score")), k, id_col="vec_id")
