@@ -126,3 +126,45 @@ def test_scores_against_a_plain_model():
         if head:
             want += log_share(model.inner, [one(f + (group + 1) * 0x9FB21C651E98DF25) >> (64 - BITS) for f in features], int(rank[i]) % SIZE)
         assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_rare_words_hang_on_history(spark):
+    """Words beyond those with weights of their own, always in one order: texts in that order score far above texts in another."""
+    rows = [(i, " ".join(f"h{(i * 37 + k) % 1100}" for k in range(100))) for i in range(440)]
+    rows += [(1000 + i, " ".join(f"r{(i * 53 + k) % 400}" for k in range(40))) for i in range(200)]
+    ordered, other = [f"r{k}" for k in range(100, 200)], [f"r{100 + k * 37 % 100}" for k in range(100)]
+    held = [i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows += [(held[0], " ".join(ordered)), (held[1], " ".join(other))]
+    got = {r.doc_id: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where(F.col("doc_id").isin(held)).collect()}
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 100
+
+
+def test_pairs_of_all_texts_are_counted(spark):
+    """The pairs of the rest that occur twice, and each bucket's sums, against a plain count; tokens that are known and such that are not."""
+    from sparrowdoc.llm import lm
+    from sparrowdoc.llm.common import Scratch
+
+    texts = [" ".join(f"w{(i * k * k) % 41}" for k in range(1, 30)) for i in range(60)] + ["", "a b a b"] + [" ".join(f"h{k}" for k in range(1020))] * 90
+    data = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = data.mapInArrow(lm._count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    every = counts.toArrow()
+    some = np.flatnonzero(every.column("c").to_numpy() > 20)
+    words = lm.Vocabulary(every.column("token").to_numpy().view(U64)[some], every.column("c").to_numpy()[some], sum(every.column("c").to_pylist()), len(every))
+    kept = lm.remembered(data, words, Scratch(spark)).collect()
+    want, sums = Counter(), Counter()
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        token, row = lm.tokens(raw, np.array([0, len(raw)]))
+        last = histories(token, row)[:, 0] >> U64(64 - lm.LAST)
+        for w, b, own in zip(token, last, words.in_head(token), strict=True):
+            if not own:
+                known = words.find(np.array([w]))[0][0] >= 0
+                key = lm.pair(np.array([w]), np.array([b]))[0] if known else w
+                want[int(np.int64(key.view(np.int64))), int(b) + (0 if known else 1 << lm.LAST)] += 1
+                sums[int(b)] += 1
+    assert len(some) > HEAD and {x[1] >> lm.LAST for x in want} == {0, 1} and max(want.values()) > 1
+    assert {(r.key, r["last"]): r.c for r in kept} == {k: n for k, n in want.items() if n > 1}
+    pairs = Counter(b % (1 << lm.LAST) for _, b in want)
+    for b in sums:
+        assert words.each[b] == pytest.approx(1 / sums[b]) and words.left[b] == pytest.approx(pairs[b] / sums[b])
