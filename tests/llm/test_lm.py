@@ -168,3 +168,11 @@ def test_pairs_of_all_texts_are_counted(spark):
     pairs = Counter(b % (1 << lm.LAST) for _, b in want)
     for b in sums:
         assert words.each[b] == pytest.approx(1 / sums[b]) and words.left[b] == pytest.approx(pairs[b] / sums[b])
+
+
+def test_sums_of_runs():
+    from sparrowdoc.llm.lm import sums_of_runs
+
+    x = np.random.default_rng(5).normal(size=(200, 7)).astype(np.float32)
+    for cut in ([0], [0, 1, 2, 4, 7, 100, 199], list(range(200)), list(range(0, 200, 2))):
+        assert np.array_equal(sums_of_runs(x, np.array(cut)), np.add.reduceat(x, cut, axis=0))
